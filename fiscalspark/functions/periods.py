@@ -14,13 +14,17 @@ MONTH_STEMS = {
 COMPACT_DATE = r"на([0-9]{2})([0-9]{2})([0-9]{4})"
 
 
-def parse_date(col: Column) -> Column:
-    """``dd.MM.yyyy``, ``yyyy-MM-dd`` or ``dd/MM/yyyy`` before the first blank; anything else is null.
+def day_text(col: Column) -> Column:
+    """The part of a date cell that names the day."""
+    return F.substring_index(clean_text(col), " ", 1)
+
+
+def parse_day(day: Column) -> Column:
+    """``dd.MM.yyyy``, ``yyyy-MM-dd`` or ``dd/MM/yyyy``; anything else is null.
 
     The layouts have different separators, so one parse per value is enough and failed attempts
     (an exception each inside the JVM) stay rare.
     """
-    day = F.substring_index(clean_text(col), " ", 1)
     return (
         F.when(F.contains(day, F.lit(".")), F.try_to_date(day, "d.M.yyyy"))
         .when(F.contains(day, F.lit("/")), F.try_to_date(day, "d/M/yyyy"))
@@ -28,6 +32,10 @@ def parse_date(col: Column) -> Column:
     )
 
 
+def parse_date(col: Column) -> Column:
+    return parse_day(day_text(col))
+
+
 def date_parts(date_col: Column) -> tuple[Column, Column]:
     return F.year(date_col), F.month(date_col)
 

@@ -49,8 +49,11 @@ def dedup_agreements(agreements: DataFrame) -> DataFrame:
     return first_wins(agreements, agreement_keys(), SNAPSHOT_ORDER)
 
 
+def first_snapshots(agreement_facts: DataFrame) -> DataFrame:
+    return first_wins(agreement_facts, agreement_fact_keys(), SNAPSHOT_ORDER)
+
+
 def dedup_agreement_facts(facts: DataFrame) -> DataFrame:
     """Only agreement facts repeat across monthly snapshots; all others pass untouched."""
     repeats = (F.col("source_group") == "agreements") & (F.col("metric") == "agreement_amount")
-    others = facts.where(~repeats)
-    return others.unionByName(first_wins(facts.where(repeats), agreement_fact_keys(), SNAPSHOT_ORDER))
+    return facts.where(~repeats).unionByName(first_snapshots(facts.where(repeats)))

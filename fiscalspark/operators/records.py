@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fiscalspark.functions.periods import date_parts, file_name_date, has_impossible_file_date, parse_date
+from fiscalspark.functions.periods import date_parts, day_text, file_name_date, has_impossible_file_date, parse_day
 from fiscalspark.functions.text import (
-    clean_text, fold_case, has_amount, normalize_code, normalize_header, parse_amount, to_money,
+    BOM, WHITESPACE, clean_text, fold_case, has_amount, normalize_code, normalize_header, parse_amount, to_money,
 )
 from fiscalspark.schema import (
     AGREEMENT_SCHEMA, CONTRACT_LINE_SCHEMA, CONTRACT_SCHEMA, FACT_SCHEMA, INSTITUTION_PAYMENT_SCHEMA,
@@ -84,6 +84,8 @@ TEXT_FIELDS = ("budget_name", "organization_name", "other_party", "document_numb
 CODE_FIELDS = ("kfsr_code", "kcsr_code", "kvr_code", "kvsr_code", "kesr_code", "kosgu_code", "purpose_code")
 FIELDS = (*TEXT_FIELDS, *CODE_FIELDS, "date")
 MAX_MONEY = 10**18
+MAX_AMOUNTS = max(len(places) for places in (*AMOUNT_COLUMNS.values(), *AMOUNT_PARTS.values()))
+CELL_BREAK = "\x1d"  # ends a physical line, so no cell contains it
 
 
 def file_kind(group: Column, path: Column) -> Column:
@@ -122,7 +124,7 @@ def place_columns(profiles: DataFrame) -> DataFrame:
     """One row per file: its kind and the cell index of every field and amount."""
     files = profiles.select(
         "path", "source_group", file_kind(F.col("source_group"), F.col("path")).alias("kind"),
-        _layout(F.col("headers")).alias("layout"),
+        _layout(F.col("headers")).alias("layout"), F.col("headers").alias("all_headers"),
     )
     layout, kind = F.col("layout"), F.col("kind")
 
@@ -142,6 +144,7 @@ def place_columns(profiles: DataFrame) -> DataFrame:
         F.struct(*[position(f) for f in FIELDS]).alias("place"),
         F.coalesce(*with_amounts).alias("amount_places"),
         F.col("layout.header").alias("headers"), F.col("layout.at").alias("cell_places"),
+        (F.size("layout") == F.size("all_headers")).alias("plain_headers"),
         F.when(is_agreement, file_name_date(F.col("path"))).alias("file_date"),
         F.coalesce(is_agreement & has_impossible_file_date(F.col("path")), F.lit(False)).alias("bad_file_date"),
     )
@@ -150,52 +153,74 @@ def place_columns(profiles: DataFrame) -> DataFrame:
 def _violation() -> Column:
     """Why the store would refuse a record, which then fails its whole file."""
     needs_document = F.col("kind").isin("contract", "contract_line") & F.col("document_id").isNull()
-    oversized = F.exists("amounts", lambda a: F.coalesce(F.abs(a["value"]) >= MAX_MONEY, F.lit(False)))
+    largest = F.greatest(*[F.abs(F.get("amounts", F.lit(i))["value"]) for i in range(MAX_AMOUNTS)])
     undated = F.col("bad_file_date") & F.col("own_date").isNull()
     return F.coalesce(
         F.when(needs_document, F.lit("con_document_id is missing")),
-        F.when(oversized, F.lit("amount does not fit DECIMAL(20,2)")),
+        F.when(largest >= MAX_MONEY, F.lit("amount does not fit DECIMAL(20,2)")),
         F.when(undated, F.lit("impossible date in the file name")),
     )
 
 
+def _record_values() -> Column:
+    """Cells in header order, padded and cut to the header.
+
+    Only files with repeated headers need a lookup per cell; plain ones take the cells as they are.
+    """
+    width = F.size("headers")
+    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), width)), F.lit(1), width)
+    looked_up = F.transform("cell_places", lambda at: F.coalesce(F.get("cells", at), F.lit("")))
+    return F.when(F.col("plain_headers"), padded).otherwise(looked_up)
+
+
 def entries(records: DataFrame, placed: DataFrame) -> DataFrame:
     """Normalised entries of all kinds; blank rows and total rows are dropped.
 
     ``records`` is ``(path, row_number, cells)``; Spark broadcasts the per-file side only while it is
     small, otherwise the join is shuffled and AQE splits a file that holds much of the data.
+    The projections are staged so that no cell is cleaned twice.
     """
-    present = records.where(F.exists("cells", lambda c: c != ""))
-    joined = present.join(placed, "path")
+    present = records.where(F.ltrim(F.array_join("cells", ""), F.lit(WHITESPACE)) != "")
+    joined = present.join(placed, "path").withColumn("values", _record_values())
+
+    first_value = F.substring_index(
+        F.ltrim(F.array_join("values", CELL_BREAK), F.lit(WHITESPACE + BOM + CELL_BREAK)), CELL_BREAK, 1)
+    is_total = F.coalesce(F.lower(clean_text(first_value)).isin(*TOTAL_ROW_WORDS), F.lit(False))
 
     def cell(at: Column) -> Column:
-        return F.get(F.col("cells"), at)
+        return F.get("cells", at)
 
     def field(name: str) -> Column:
         value = cell(F.col(f"place.{name}"))
         return (normalize_code(value) if name in CODE_FIELDS else clean_text(value)).alias(name)
 
-    values = F.transform("cell_places", lambda at: F.coalesce(cell(at), F.lit("")))
-    first_value = F.try_element_at(F.filter(values, lambda v: clean_text(v).isNotNull()), F.lit(1))
-    is_total = F.coalesce(F.lower(clean_text(first_value)).isin(*TOTAL_ROW_WORDS), F.lit(False))
-    amounts = F.transform(
-        "amount_places", lambda a: F.struct(a["metric"].alias("metric"), parse_amount(cell(a["at"])).alias("value"))
-    )
+    def amount(i: int) -> Column:
+        at = F.get("amount_places", F.lit(i))
+        return F.struct(at["metric"].alias("metric"), parse_amount(cell(at["at"])).alias("value"))
+
+    amounts = F.slice(F.array(*[amount(i) for i in range(MAX_AMOUNTS)]), F.lit(1), F.size("amount_places"))
     return (
         joined.where(~is_total)
         .select(
             F.col("path").alias("source_file"), "row_number", "source_group", "kind", "file_date", "bad_file_date",
             *[field(f) for f in FIELDS if f != "date"],
-            parse_date(cell(F.col("place.date"))).alias("own_date"),
-            amounts.alias("amounts"),
-            F.map_from_arrays("headers", values).alias("raw_data"),
+            day_text(cell(F.col("place.date"))).alias("day"),
+            F.when(F.col("amount_places").isNotNull(), amounts).alias("amounts"),
+            F.map_from_arrays("headers", "values").alias("raw_data"),
         )
+        .withColumn("own_date", parse_day(F.col("day")))
         .withColumn("violation", _violation())
         .withColumn("date", F.coalesce("own_date", "file_date"))
-        .drop("own_date", "file_date", "bad_file_date")
+        .drop("day", "own_date", "file_date", "bad_file_date")
     )
 
 
+def normalized_rows() -> Column:
+    """How many rows an entry adds to the facts and the typed tables."""
+    facts = F.size(F.filter(F.coalesce("amounts", F.array()), lambda a: has_amount(a["value"])))
+    return facts + F.coalesce(F.col("kind").isin(*TYPED_TABLES.values()), F.lit(False)).cast("int")
+
+
 def raw_rows(entry: DataFrame) -> DataFrame:
     return entry.select("source_file", "row_number", F.col("raw_data").alias("data"))
 

@@ -28,59 +28,72 @@ class Import:
             df.unpersist()
 
 
-def _materialize(spark: SparkSession, df: DataFrame, name: str, held: list[DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class Normalized:
+    """Outputs of the record normalisers after quarantine and snapshot dedup."""
+
+    raw_rows: DataFrame
+    facts: DataFrame
+    tables: dict[str, DataFrame]
+    problems: DataFrame
+    counts: DataFrame
+
+
+def materialize(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFrame:
     """Keep a result that several outputs read, so the raw files are not parsed once per output.
 
     With a shared checkpoint folder it becomes a table there, which outlives lost executors; otherwise
     it is persisted with its lineage intact.
     """
+    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         path = f"{shared.rstrip('/')}/fiscalspark/{name}-{uuid.uuid4()}"
         df.write.parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(kept)
+    if held is not None:
+        held.append(kept)
     return kept
 
 
 def normalize(records: DataFrame, profiles: DataFrame, batch_id: str, read_problems: DataFrame | None = None,
-              keep=lambda df, name: df) -> tuple[DataFrame, DataFrame, dict[str, DataFrame], DataFrame]:
-    """Records -> (raw rows, facts, typed tables, problems) after quarantine and snapshot dedup."""
+              keep=materialize) -> Normalized:
     entry = keep(N.entries(records, N.place_columns(profiles)), "entries")
     problems = keep(Q.file_problems(entry, read_problems), "problems")
     healthy = Q.without_failed_files(entry, problems)
+    agreement = F.col("kind") == "agreement"
     tables = {name: N.typed(healthy, name) for name in N.TYPED_TABLES}
     tables["agreements"] = Q.dedup_agreements(tables["agreements"])
-    facts = Q.dedup_agreement_facts(N.facts(healthy, batch_id))
-    return N.raw_rows(healthy), facts, tables, problems
+    agreement_facts = Q.first_snapshots(N.facts(healthy.where(agreement), batch_id))
+    other_facts = N.facts(healthy.where(~agreement), batch_id)
+    return Normalized(
+        raw_rows=N.raw_rows(healthy), facts=other_facts.unionByName(agreement_facts), tables=tables,
+        problems=problems, counts=B.imported_counts(healthy, tables["agreements"], agreement_facts),
+    )
 
 
-def _assemble(spark: SparkSession, files: DataFrame, lines: DataFrame, batch_id: str,
+def _assemble(files: DataFrame, lines: DataFrame, batch_id: str,
               hashes: DataFrame | None, archive_problems: DataFrame | None = None) -> Import:
     held: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        return _materialize(spark, df, name, held)
+        return materialize(df, name, held)
 
     blocks = keep(tree.index_blocks(lines), "blocks")
     profiles = tree.profiles(blocks)
     parsed = keep(tree.parse_blocks(lines, blocks), "parsed")
     records, read_problems = tree.read_records(parsed, blocks)
-    raw, facts, tables, problems = normalize(records, profiles, batch_id, read_problems, keep)
-    registry = B.file_registry(
-        tree.register(files), profiles, problems,
-        B.count_by_file([raw], "raw_rows_imported"),
-        B.count_by_file([facts, *tables.values()], "normalized_rows_imported"),
-        hashes,
-    )
-    registry = keep(registry, "registry")
-    errors = Q.error_log(problems, batch_id)
+    out = normalize(records, profiles, batch_id, read_problems, keep)
+    registry = keep(
+        B.file_registry(tree.register(files), profiles, out.problems, out.counts, hashes), "registry")
+    errors = Q.error_log(out.problems, batch_id)
     if archive_problems is not None:
         errors = errors.unionByName(Q.error_log(archive_problems, batch_id))
     return Import(
-        batch_id=batch_id, raw_rows=raw.select(F.lit(batch_id).alias("batch_id"), "*"), facts=facts,
-        tables={name: t.select(F.lit(batch_id).alias("batch_id"), "*") for name, t in tables.items()},
+        batch_id=batch_id, raw_rows=out.raw_rows.select(F.lit(batch_id).alias("batch_id"), "*"),
+        facts=out.facts,
+        tables={name: t.select(F.lit(batch_id).alias("batch_id"), "*") for name, t in out.tables.items()},
         registry=registry.select(F.lit(batch_id).alias("batch_id"), "*"),
         batch=B.batch_rollup(files, registry, batch_id), errors=errors, _held=held,
     )
@@ -89,7 +102,7 @@ def _assemble(spark: SparkSession, files: DataFrame, lines: DataFrame, batch_id:
 def ingest_folder(spark: SparkSession, root: str, batch_id: str | None = None, hash_files: bool = True) -> Import:
     batch_id = batch_id or str(uuid.uuid4())
     hashes = tree.hash_files(spark, root) if hash_files else None
-    return _assemble(spark, tree.list_files(spark, root), tree.read_lines(spark, root), batch_id, hashes)
+    return _assemble(tree.list_files(spark, root), tree.read_lines(spark, root), batch_id, hashes)
 
 
 def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None) -> Import:
@@ -98,4 +111,4 @@ def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None)
     chunks = tree.expand_archives(spark, root)
     refused = chunks.where(F.col("problem").isNotNull()).select(
         F.col("archive").alias("path"), F.col("problem").alias("message"))
-    return _assemble(spark, tree.archive_files(chunks), tree.archive_lines(chunks), batch_id, None, refused)
+    return _assemble(tree.archive_files(chunks), tree.archive_lines(chunks), batch_id, None, refused)
