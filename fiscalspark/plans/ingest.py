@@ -73,8 +73,9 @@ def normalize(records: DataFrame, profiles: DataFrame, batch_id: str, read_probl
     )
 
 
-def _assemble(files: DataFrame, lines: DataFrame, batch_id: str,
-              hashes: DataFrame | None, archive_problems: DataFrame | None = None) -> Import:
+def ingest_lines(files: DataFrame, lines: DataFrame, batch_id: str, hashes: DataFrame | None = None,
+                 archive_problems: DataFrame | None = None) -> Import:
+    """Import files whose physical lines ``(path, block, line, seq)`` are already at hand."""
     held: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -102,7 +103,7 @@ def _assemble(files: DataFrame, lines: DataFrame, batch_id: str,
 def ingest_folder(spark: SparkSession, root: str, batch_id: str | None = None, hash_files: bool = True) -> Import:
     batch_id = batch_id or str(uuid.uuid4())
     hashes = tree.hash_files(spark, root) if hash_files else None
-    return _assemble(tree.list_files(spark, root), tree.read_lines(spark, root), batch_id, hashes)
+    return ingest_lines(tree.list_files(spark, root), tree.read_lines(spark, root), batch_id, hashes)
 
 
 def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None) -> Import:
@@ -111,4 +112,4 @@ def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None)
     chunks = tree.expand_archives(spark, root)
     refused = chunks.where(F.col("problem").isNotNull()).select(
         F.col("archive").alias("path"), F.col("problem").alias("message"))
-    return _assemble(tree.archive_files(chunks), tree.archive_lines(chunks), batch_id, None, refused)
+    return ingest_lines(tree.archive_files(chunks), tree.archive_lines(chunks), batch_id, None, refused)
