@@ -7,6 +7,8 @@ each subject row: no cross join and no shuffle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fiscalspark.operators.distinct import catalogue, last_value_wins
@@ -101,49 +103,55 @@ def subjects(facts: DataFrame) -> DataFrame:
                          F.col("value").alias("text"), F.col("value").alias("canonical"))
 
 
-def _templates(rows: list[tuple]) -> Column:
-    """(metric, verb, phrases, before, after, group, date_from, date_to) -> array of structs."""
-    names = ("metric", "verb", "phrases", "before", "after", "group", "date_from", "date_to")
-
-    def literal(value, name: str) -> Column:
-        if isinstance(value, tuple):
-            return F.array(*[F.lit(v) for v in value]).alias(name)
-        return F.lit(value).cast("string").alias(name)
-
-    return F.array(*[
-        F.struct(F.lit(i).alias("place"), *[literal(v, n) for n, v in zip(names, row)]) for i, row in enumerate(rows)
-    ])
-
-
-def _sections() -> list[tuple[Column, Column]]:
-    kind = F.col("kind")
-    sections = [
-        (kind == "object_query", _templates([
+def _sections() -> dict[tuple[str, str | None], list[tuple]]:
+    """(kind, one subject or all) -> (metric, verb, phrases, before, after, group, date_from, date_to)."""
+    sections = {
+        ("object_query", None): [
             (m, verb, METRIC_PHRASES[m], " по ", suffix, group, None, None)
-            for m in SUBJECT_METRICS for verb in OBJECT_VERBS for group, suffix in GROUPINGS])),
-        (kind == "organization_query", _templates([
+            for m in SUBJECT_METRICS for verb in OBJECT_VERBS for group, suffix in GROUPINGS
+        ] + [
+            (m, None, METRIC_PHRASES[m][:1], " по ", f" {words}", None, start, end)
+            for m in DATED_METRICS for words, start, end in DATE_RANGES
+        ],
+        ("organization_query", None): [
             (m, verb, METRIC_PHRASES[m], " по организации ", "", None, None, None)
-            for m in SUBJECT_METRICS for verb in ORGANIZATION_VERBS])),
-        (kind == "budget_query", _templates([
-            (m, "", METRIC_PHRASES[m], " по ", "", None, None, None) for m in SUBJECT_METRICS])),
-    ]
+            for m in SUBJECT_METRICS for verb in ORGANIZATION_VERBS
+        ],
+        ("budget_query", None): [(m, "", METRIC_PHRASES[m], " по ", "", None, None, None) for m in SUBJECT_METRICS],
+    }
     for source, (first, second) in SOURCE_PHRASES.items():
-        rows = [
+        sections["source_groups", source] = [
             (m, None, METRIC_PHRASES[m][:1], f" {words}", suffix, group, None, None)
             for m in SOURCE_METRICS[source]
             for words, suffix, group in ((first, "", None), (second, " по месяцам", "month"))
         ]
-        sections.append(((kind == "source_groups") & (F.col("canonical") == source), _templates(rows)))
     for code, label in CODE_LABELS.items():
-        sections.append((kind == code, _templates([
+        sections[code, None] = [
             (m, None, METRIC_PHRASES[m][:1], f" по {label} ", suffix, group, None, None)
-            for m in CODE_METRICS[code] for group, suffix in ((None, ""), ("year", " по годам"))])))
-    sections.append((kind == "object_query", _templates([
-        (m, None, METRIC_PHRASES[m][:1], " по ", f" {words}", None, start, end)
-        for m in DATED_METRICS for words, start, end in DATE_RANGES])))
+            for m in CODE_METRICS[code] for group, suffix in ((None, ""), ("year", " по годам"))
+        ]
     return sections
 
 
+TEMPLATE_TYPE = (
+    "array<struct<place int, metric string, verb string, phrases array<string>, before string, after string, "
+    "`group` string, date_from string, date_to string>>"
+)
+
+
+def _templates() -> Column:
+    """The templates that apply to a subject: a constant array per kind, parsed once while planning."""
+    names = ("metric", "verb", "phrases", "before", "after", "group", "date_from", "date_to")
+    choices = []
+    for (kind, only), rows in _sections().items():
+        text = json.dumps([{"place": i, **dict(zip(names, row))} for i, row in enumerate(rows)], ensure_ascii=False)
+        applies = F.col("kind") == kind
+        if only is not None:
+            applies = applies & (F.col("canonical") == only)
+        choices.append(F.when(applies, F.from_json(F.lit(text), TEMPLATE_TYPE)))
+    return F.coalesce(*choices)
+
+
 def _target(template: Column) -> Column:
     def listed(value: Column) -> Column:
         return F.when(value.isNotNull(), F.array(value))
@@ -168,21 +176,15 @@ def examples(subject: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     named = F.when(F.col("kind") == "source_groups", "").otherwise(F.col("text"))
     text = F.trim(F.concat(verb, F.lit(" "), phrase, template["before"], named, template["after"]))
 
-    parts = []
-    for number, (applies, templates) in enumerate(_sections(), start=1):
-        expanded = subject.where(applies).withColumn("t", F.explode(templates))
-        parts.append(expanded.select(
-            text.alias("text_query"), _target(template).alias("target"),
-            F.struct(F.lit(number).alias("section"), F.col("canonical").alias("subject"),
-                     template["place"].alias("place")).alias("position")))
+    every = subject.withColumn("t", F.explode(_templates())).select(
+        text.alias("text_query"), _target(template).alias("target"),
+        F.struct(F.lit(1).alias("section"), "kind", F.col("canonical").alias("subject"),
+                 template["place"].alias("place")).alias("position"))
     if curated is not None:
-        parts.append(curated.select(
+        every = every.unionByName(curated.select(
             "text_query", F.col("target").cast(TARGET_TYPE).alias("target"),
-            F.struct(F.lit(0).alias("section"), F.col("text_query").alias("subject"), F.lit(0).alias("place"))
-            .alias("position")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+            F.struct(F.lit(0).alias("section"), F.lit("").alias("kind"), F.col("text_query").alias("subject"),
+                     F.lit(0).alias("place")).alias("position")))
     return last_value_wins(every, "text_query", "position", ["target"])
 
 
