@@ -63,9 +63,12 @@ SQL["unpivot_rchb"] = (
     "'050' || l_linenumber AS kfsr_code, l_returnflag AS kvr_code, '002' AS kvsr_code, '241' AS kesr_code, "
     "'241' AS kosgu_code, CAST(NULL AS VARCHAR) AS purpose_code, 'Региональные средства' AS funding_source, "
     "CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, metric, "
-    f"{N}, {_MONEY}, MIN('Бюджет ' || l_suppkey) AS first_object, MAX('032' || l_partkey) AS last_kcsr, "
-    f"MAX('05.0' || l_linenumber) AS last_raw_kfsr FROM {_LINE_FACTS} WHERE value <> 0 "
+    f"{N}, {_MONEY}, CAST(SUM(length('Бюджет ' || l_suppkey)) AS BIGINT) AS object_letters, "
+    f"CAST(SUM(length('032' || l_partkey)) AS BIGINT) AS kcsr_letters FROM {_LINE_FACTS} WHERE value <> 0 "
     "GROUP BY ALL")
+SQL["raw_rows_rchb"] = (
+    "SELECT '1. РЧБ/' || l_returnflag || '.csv' AS source_file, '05.0' || l_linenumber AS kfsr, 15 AS width, "
+    f"{N} FROM lineitem GROUP BY ALL")
 SQL["ingest_files"] = (
     "SELECT '050' || l_linenumber AS kfsr_code, l_returnflag AS kvr_code, CAST(year(l_shipdate) AS INTEGER) AS year, "
     f"metric, {N}, {_MONEY} FROM {_LINE_FACTS} WHERE value <> 0 GROUP BY ALL")

@@ -13,7 +13,7 @@ from fiscalspark.plans.ingest import ingest_folder, materialize, normalize
 from fiscalspark.queries import query
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import messy, tree
-from fiscalspark.sources.mart import table
+from fiscalspark.sources.mart import spread, table
 
 COUNT = F.count(F.lit(1)).alias("n")
 
@@ -57,7 +57,7 @@ def parse_amount(spark, sf_dir):
     amount = messy.messy_amount(F.col("l_extendedprice"))
     raw = F.when(key % 11 == 0, F.lit("1.2.3")).when(key % 11 == 1, F.lit("12-34")).when(key % 11 == 2, F.lit("-."))
     raw = raw.when(key % 11 == 3, F.concat(F.lit("-"), amount, F.lit(" руб"))).otherwise(amount)
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", raw.alias("raw"))
+    lines = spread(table(spark, sf_dir, "lineitem")).select("l_returnflag", raw.alias("raw"))
     parsed = X.normalize_columns(lines, {"value": ("amount", "raw")})
     return parsed.groupBy("l_returnflag").agg(F.count("value").alias("parsed"), COUNT, total().alias("value"))
 
@@ -74,7 +74,7 @@ def parse_date(spark, sf_dir):
     key = F.col("l_orderkey")
     raw = F.when(key % 97 == 0, F.lit("31.02.1998")).when(key % 97 == 1, F.lit("not a date")) \
         .otherwise(messy.messy_date(F.col("l_shipdate"), key))
-    return table(spark, sf_dir, "lineitem").groupBy(P.parse_date(raw).alias("day")).agg(COUNT)
+    return spread(table(spark, sf_dir, "lineitem")).groupBy(P.parse_date(raw).alias("day")).agg(COUNT)
 
 
 @query("date_parts")
@@ -139,12 +139,21 @@ def _facts(source, spark, sf_dir) -> DataFrame:
 
 @query("unpivot_rchb")
 def unpivot_rchb(spark, sf_dir):
-    facts = _facts(messy.rchb, spark, sf_dir)
-    return facts.groupBy(
-        "source_file", "organization_name", "kfsr_code", "kvr_code", "kvsr_code", "kesr_code", "kosgu_code",
-        "purpose_code", "funding_source", "year", "month", "metric",
-    ).agg(COUNT, total().alias("value"), F.min("object_name").alias("first_object"),
-          F.max("kcsr_code").alias("last_kcsr"), F.max(F.col("raw_data")["КФСР"]).alias("last_raw_kfsr"))
+    keys = ["source_file", "organization_name", "kfsr_code", "kvr_code", "kvsr_code", "kesr_code", "kosgu_code",
+            "purpose_code", "funding_source", "year", "month", "metric"]
+    facts = _facts(messy.rchb, spark, sf_dir).select(
+        *keys, "value", F.length("object_name").alias("object_length"), F.length("kcsr_code").alias("kcsr_length"))
+    return facts.groupBy(*keys).agg(
+        COUNT, total().alias("value"), F.sum("object_length").alias("object_letters"),
+        F.sum("kcsr_length").alias("kcsr_letters"))
+
+
+@query("raw_rows_rchb")
+def raw_rows_rchb(spark, sf_dir):
+    """Verbatim records: what the cells of every header say, counted."""
+    raw = N.raw_rows(_entries(messy.rchb, spark, sf_dir))
+    cells = raw.select("source_file", F.col("data")["КФСР"].alias("kfsr"), F.size("data").alias("width"))
+    return cells.groupBy("source_file", "kfsr", "width").agg(COUNT)
 
 
 @query("agreement_facts")
@@ -264,7 +273,7 @@ def ingest_files(spark, sf_dir):
     """Ledger exports written as real CSV files, then read back through the whole import."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fiscalspark/exports-{uuid.uuid4()}"
     cells = [c.alias(h) for h, c in zip(messy.RCHB_HEADERS, messy.rchb_cells())]
-    exports = table(spark, sf_dir, "lineitem").select(
+    exports = spread(table(spark, sf_dir, "lineitem")).select(
         F.concat(F.lit("1. РЧБ "), F.col("l_returnflag")).alias("source"), *cells)
     exports.write.partitionBy("source").option("header", "true").option("sep", ";").csv(root)
     done = ingest_folder(spark, root, "tpch", hash_files=False)

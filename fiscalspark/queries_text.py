@@ -12,7 +12,7 @@ from fiscalspark.plans import examples as X, resolve as R, training as G
 from fiscalspark.queries import _facts, query
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import mart
-from fiscalspark.sources.mart import table
+from fiscalspark.sources.mart import spread, table
 from fiscalspark.streaming import jobs
 
 COUNT = F.count(F.lit(1)).alias("n")
@@ -42,7 +42,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_terms")
 def text_terms(spark, sf_dir):
     """Search terms of whole documents, counted by document."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", L.search_terms(F.col("text")).alias("terms"))
+    terms = spread(table(spark, sf_dir, "documents")).select("doc_id", L.search_terms(F.col("text")).alias("terms"))
     return terms.select(
         "doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", " ")).alias("digest"))
 

@@ -20,6 +20,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot never compiles methods above 8000 bytes; wide record projections would stay interpreted.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config(
