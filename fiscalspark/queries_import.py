@@ -129,8 +129,9 @@ def file_admission(spark, sf_dir):
 
 
 def _entries(source, spark, sf_dir) -> DataFrame:
+    """Entries kept as a table, as in an import: outputs read them instead of normalising again."""
     records, profiles = source(spark, sf_dir)
-    return N.entries(records, N.place_columns(profiles))
+    return materialize(N.entries(records, N.place_columns(profiles)), "entries")
 
 
 def _facts(source, spark, sf_dir) -> DataFrame:
