@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalspark.functions import periods as P, text as X
 from fiscalspark.operators import bookkeeping as B, distinct as D, quarantine as Q, records as N
@@ -15,7 +15,9 @@ from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import messy, tree
 from fiscalspark.sources.mart import spread, table
 
-COUNT = F.count(F.lit(1)).alias("n")
+
+def _count() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 # --- Scalar normalisers over messy text --------------------------------------------------------
 
@@ -26,21 +28,21 @@ def norm_clean_text(spark, sf_dir):
     text = F.when(key % 4 == 0, F.concat(F.lit("﻿\xa0 "), F.col("o_orderpriority"), F.lit(" \t"))) \
         .when(key % 4 == 1, F.lit(" \xa0\n")).otherwise(F.col("o_orderpriority"))
     texts = table(spark, sf_dir, "orders").select(text.alias("raw"))
-    return X.normalize_columns(texts, {"cleaned": ("text", "raw")}).groupBy("cleaned").agg(COUNT)
+    return X.normalize_columns(texts, {"cleaned": ("text", "raw")}).groupBy("cleaned").agg(_count())
 
 
 @query("norm_header")
 def norm_header(spark, sf_dir):
     raw = F.concat(F.lit("﻿Ёлка, "), F.upper("p_name"), F.lit(" (по БО) "), F.col("p_size"), F.lit(" год"))
     headers = table(spark, sf_dir, "part").select(raw.alias("raw"))
-    return X.normalize_columns(headers, {"header": ("header", "raw")}).groupBy("header").agg(COUNT)
+    return X.normalize_columns(headers, {"header": ("header", "raw")}).groupBy("header").agg(_count())
 
 
 @query("norm_code")
 def norm_code(spark, sf_dir):
     raw = F.when(F.col("l_linenumber") == 1, F.lit(" . ")).otherwise(F.format_string(" 03.2. %d", "l_partkey"))
     codes = table(spark, sf_dir, "lineitem").select(raw.alias("raw"))
-    return X.normalize_columns(codes, {"code": ("code", "raw")}).groupBy("code").agg(COUNT)
+    return X.normalize_columns(codes, {"code": ("code", "raw")}).groupBy("code").agg(_count())
 
 
 @query("norm_search_text")
@@ -48,7 +50,7 @@ def norm_search_text(spark, sf_dir):
     raw = F.concat(F.lit("\xa0ЁЖ "), F.col("c_mktsegment"), F.lit(" Ёё "))
     return X.normalize_columns(
         table(spark, sf_dir, "customer").select(raw.alias("raw")), {"text": ("search", "raw")}
-    ).groupBy("text").agg(COUNT)
+    ).groupBy("text").agg(_count())
 
 
 @query("parse_amount")
@@ -59,7 +61,7 @@ def parse_amount(spark, sf_dir):
     raw = raw.when(key % 11 == 3, F.concat(F.lit("-"), amount, F.lit(" руб"))).otherwise(amount)
     lines = spread(table(spark, sf_dir, "lineitem")).select("l_returnflag", raw.alias("raw"))
     parsed = X.normalize_columns(lines, {"value": ("amount", "raw")})
-    return parsed.groupBy("l_returnflag").agg(F.count("value").alias("parsed"), COUNT, total().alias("value"))
+    return parsed.groupBy("l_returnflag").agg(F.count("value").alias("parsed"), _count(), total().alias("value"))
 
 
 @query("parse_amount_half_even")
@@ -74,14 +76,14 @@ def parse_date(spark, sf_dir):
     key = F.col("l_orderkey")
     raw = F.when(key % 97 == 0, F.lit("31.02.1998")).when(key % 97 == 1, F.lit("not a date")) \
         .otherwise(messy.messy_date(F.col("l_shipdate"), key))
-    return spread(table(spark, sf_dir, "lineitem")).groupBy(P.parse_date(raw).alias("day")).agg(COUNT)
+    return spread(table(spark, sf_dir, "lineitem")).groupBy(P.parse_date(raw).alias("day")).agg(_count())
 
 
 @query("date_parts")
 def date_parts(spark, sf_dir):
     day = P.parse_date(messy.messy_date(F.col("o_orderdate"), F.col("o_orderkey")))
     year, month = P.date_parts(F.when(F.col("o_orderkey") % 13 != 0, day))
-    return table(spark, sf_dir, "orders").groupBy(year.alias("year"), month.alias("month")).agg(COUNT)
+    return table(spark, sf_dir, "orders").groupBy(year.alias("year"), month.alias("month")).agg(_count())
 
 
 @query("period_label")
@@ -90,7 +92,7 @@ def period_label(spark, sf_dir):
     label = P.period_label(
         F.when(key % 4 == 0, date), F.when(key % 4 < 3, F.year(date)), F.when(key % 4 < 2, F.month(date)),
         F.lit(P.range_label(None, None)))
-    return table(spark, sf_dir, "orders").groupBy(label.alias("period")).agg(COUNT)
+    return table(spark, sf_dir, "orders").groupBy(label.alias("period")).agg(_count())
 
 
 # --- Facts about paths -------------------------------------------------------------------------
@@ -101,7 +103,7 @@ def path_source_group(spark, sf_dir):
     prefixes = F.array(*[F.lit(p) for p in (
         "1. Данные/", "Выгрузка РЧБ ", "x/2. y/", "СОГЛАШЕНИЯ ", "a\\3.b ", "ГЗ ", "4.", "буау", "СКК/", "прочее ")])
     path = F.concat(F.get(prefixes, (F.col("o_orderkey") % 10).cast("int")), F.col("o_orderkey"), F.lit(".csv"))
-    return table(spark, sf_dir, "orders").groupBy(tree.source_group(path).alias("source_group")).agg(COUNT)
+    return table(spark, sf_dir, "orders").groupBy(tree.source_group(path).alias("source_group")).agg(_count())
 
 
 @query("path_period")
@@ -112,7 +114,7 @@ def path_period(spark, sf_dir):
         .when(key % 3 == 1, F.concat(F.get(months, F.month(ts) - 1), F.lit("ь"), F.year(ts), F.lit(".CSV"))) \
         .otherwise(F.concat(F.lit("на9999"), F.year(ts), F.lit(".csv")))
     return table(spark, sf_dir, "events").groupBy(
-        P.file_name_date(path).alias("period"), P.has_impossible_file_date(path).alias("impossible")).agg(COUNT)
+        P.file_name_date(path).alias("period"), P.has_impossible_file_date(path).alias("impossible")).agg(_count())
 
 
 @query("file_admission")
@@ -122,7 +124,7 @@ def file_admission(spark, sf_dir):
     path = F.concat(F.lit("x/f"), F.col("o_orderkey"), F.get(suffixes, (F.col("o_orderkey") % 6).cast("int")))
     files = table(spark, sf_dir, "orders").select(path.alias("path"), F.lit(1).alias("size_bytes"))
     registered = tree.register(files.withColumn("extension", tree.extension(F.col("path"))))
-    return registered.groupBy("extension", "status", "error_message").agg(COUNT)
+    return registered.groupBy("extension", "status", "error_message").agg(_count())
 
 
 # --- Records -> facts and typed tables ---------------------------------------------------------
@@ -145,7 +147,7 @@ def unpivot_rchb(spark, sf_dir):
     facts = _facts(messy.rchb, spark, sf_dir).select(
         *keys, "value", F.length("object_name").alias("object_length"), F.length("kcsr_code").alias("kcsr_length"))
     return facts.groupBy(*keys).agg(
-        COUNT, total().alias("value"), F.sum("object_length").alias("object_letters"),
+        _count(), total().alias("value"), F.sum("object_length").alias("object_letters"),
         F.sum("kcsr_length").alias("kcsr_letters"))
 
 
@@ -154,7 +156,7 @@ def raw_rows_rchb(spark, sf_dir):
     """Verbatim records: what the cells of every header say, counted."""
     raw = N.raw_rows(_entries(messy.rchb, spark, sf_dir))
     cells = raw.select("source_file", F.col("data")["КФСР"].alias("kfsr"), F.size("data").alias("width"))
-    return cells.groupBy("source_file", "kfsr", "width").agg(COUNT)
+    return cells.groupBy("source_file", "kfsr", "width").agg(_count())
 
 
 @query("agreement_facts")
@@ -175,7 +177,7 @@ def contract_facts(spark, sf_dir):
 def contract_budget_lines(spark, sf_dir):
     lines = N.typed(_entries(messy.contract_lines, spark, sf_dir), "contract_budget_lines")
     return lines.groupBy("kfsr_code", "kcsr_code", "kvr_code", "kesr_code", "kvsr_code", "purpose_code").agg(
-        COUNT, F.min("con_document_id").alias("first_document"))
+        _count(), F.min("con_document_id").alias("first_document"))
 
 
 @query("payment_facts")
@@ -188,14 +190,14 @@ def payment_facts(spark, sf_dir):
 def unpivot_buau(spark, sf_dir):
     facts = _facts(messy.buau, spark, sf_dir)
     return facts.groupBy("source_file", "object_name", "organization_name", "kfsr_code", "purpose_code", "metric").agg(
-        COUNT, total().alias("value"))
+        _count(), total().alias("value"))
 
 
 @query("institution_payments")
 def institution_payments(spark, sf_dir):
     rows = N.typed(_entries(messy.buau, spark, sf_dir), "institution_payments")
     sums = [F.sum(c).cast("decimal(20,2)").alias(c) for c in ("amount_with_refund", "amount_execution", "amount_recovery")]
-    return rows.groupBy("budget_name", "grantor_name", "kcsr_code", "kosgu_code").agg(COUNT, *sums)
+    return rows.groupBy("budget_name", "grantor_name", "kcsr_code", "kosgu_code").agg(_count(), *sums)
 
 
 @query("dedup_agreements")
@@ -278,4 +280,4 @@ def ingest_files(spark, sf_dir):
         F.concat(F.lit("1. РЧБ "), F.col("l_returnflag")).alias("source"), *cells)
     exports.write.partitionBy("source").option("header", "true").option("sep", ";").csv(root)
     done = ingest_folder(spark, root, "tpch", hash_files=False)
-    return done.facts.groupBy("kfsr_code", "kvr_code", "year", "metric").agg(COUNT, total().alias("value"))
+    return done.facts.groupBy("kfsr_code", "kvr_code", "year", "metric").agg(_count(), total().alias("value"))

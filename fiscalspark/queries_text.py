@@ -15,7 +15,9 @@ from fiscalspark.sources import mart
 from fiscalspark.sources.mart import spread, table
 from fiscalspark.streaming import jobs
 
-COUNT = F.count(F.lit(1)).alias("n")
+
+def _count() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 SUBJECT_WORDS = (
     "лимиты", "кассовые выплаты", "сумму соглашений", "договоры", "платежи", "обязательства без БО",
@@ -50,35 +52,35 @@ def text_terms(spark, sf_dir):
 @query("question_terms")
 def question_terms(spark, sf_dir):
     terms = F.array_join(L.search_terms(F.col("text_query")), " ").alias("terms")
-    return questions(spark, sf_dir).groupBy(terms).agg(COUNT)
+    return questions(spark, sf_dir).groupBy(terms).agg(_count())
 
 
 @query("text_stem")
 def text_stem(spark, sf_dir):
     words = F.explode(F.regexp_extract_all(F.lower("text_query"), F.lit("([а-яё]+)"), 1))
-    return questions(spark, sf_dir).select(words.alias("word")).groupBy(L.stem(F.col("word")).alias("stem")).agg(COUNT)
+    return questions(spark, sf_dir).select(words.alias("word")).groupBy(L.stem(F.col("word")).alias("stem")).agg(_count())
 
 
 @query("infer_metric")
 def infer_metric(spark, sf_dir):
-    return questions(spark, sf_dir).groupBy(L.metric_hint(F.col("text_query")).alias("metric")).agg(COUNT)
+    return questions(spark, sf_dir).groupBy(L.metric_hint(F.col("text_query")).alias("metric")).agg(_count())
 
 
 @query("infer_metric_interp")
 def infer_metric_interp(spark, sf_dir):
     both = F.concat(F.col("text_query"), F.when(F.col("query_id") % 2 == 0, " и расходы").otherwise(" и лимиты"))
-    return questions(spark, sf_dir).groupBy(L.interpretation_metric_hint(both).alias("metric")).agg(COUNT)
+    return questions(spark, sf_dir).groupBy(L.interpretation_metric_hint(both).alias("metric")).agg(_count())
 
 
 @query("infer_group_by")
 def infer_group_by(spark, sf_dir):
-    return questions(spark, sf_dir).groupBy(L.group_by_hint(F.col("text_query")).alias("group_by")).agg(COUNT)
+    return questions(spark, sf_dir).groupBy(L.group_by_hint(F.col("text_query")).alias("group_by")).agg(_count())
 
 
 @query("infer_year_range")
 def infer_year_range(spark, sf_dir):
     first, last = L.year_range(F.col("text_query"))
-    return questions(spark, sf_dir).groupBy(first.alias("date_from"), last.alias("date_to")).agg(COUNT)
+    return questions(spark, sf_dir).groupBy(first.alias("date_from"), last.alias("date_to")).agg(_count())
 
 
 def _options(spark, sf_dir) -> DataFrame:
@@ -179,7 +181,7 @@ def coerce_flags(spark, sf_dir):
     raw = F.when(key % 5 == 0, "true").when(key % 5 == 1, '"No"').when(key % 5 == 2, '"да"').when(key % 5 == 3, "0")
     new = F.when(key % 2 == 0, F.concat(F.lit(" "), F.col("o_orderpriority"))).otherwise("иное")
     changed = R.flag(F.try_parse_json(raw), F.col("o_orderpriority"), new)
-    return table(spark, sf_dir, "orders").groupBy((key % 10).alias("bucket"), changed.alias("changed")).agg(COUNT)
+    return table(spark, sf_dir, "orders").groupBy((key % 10).alias("bucket"), changed.alias("changed")).agg(_count())
 
 
 @query("canonical_lists")
@@ -191,7 +193,7 @@ def canonical_lists(spark, sf_dir):
     given = F.array(F.upper(F.lit("gz")), F.when(key % 2 == 0, " Rchb ").otherwise("нет"), F.lit("gz"))
     orders = table(spark, sf_dir, "orders").select(given.alias("given"), listed.alias("allowed"))
     spelled = F.array_join(R.canonical(F.col("given"), F.col("allowed")), ",")
-    return orders.groupBy(spelled.alias("source_groups")).agg(COUNT)
+    return orders.groupBy(spelled.alias("source_groups")).agg(_count())
 
 
 @query("prepared_examples")
@@ -223,19 +225,19 @@ def training_records(spark, sf_dir):
     records = G.records(_examples(spark, sf_dir))
     metric = F.get_json_object("completion", "$.metrics[0]")
     return records.groupBy(metric.alias("metric"), F.get_json_object("completion", "$.group_by[0]").alias("group_by")).agg(
-        COUNT, F.count_if(F.contains("prompt", F.col("text_query"))).alias("with_text"))
+        _count(), F.count_if(F.contains("prompt", F.col("text_query"))).alias("with_text"))
 
 
 @query("train_val_split")
 def train_val_split(spark, sf_dir):
-    return G.split(G.records(_examples(spark, sf_dir))).groupBy("split").agg(COUNT)
+    return G.split(G.records(_examples(spark, sf_dir))).groupBy("split").agg(_count())
 
 
 @query("training_text")
 def training_text(spark, sf_dir):
     texts = G.training_text(G.records(_examples(spark, sf_dir)))
     ends = F.endswith("text", F.col("completion")) & F.startswith("text", F.col("prompt"))
-    return texts.agg(COUNT, F.count_if(ends).alias("whole"))
+    return texts.agg(_count(), F.count_if(ends).alias("whole"))
 
 
 @query("training_audit")
@@ -252,7 +254,7 @@ def training_manifest(spark, sf_dir):
 @query("reply_is_json")
 def reply_is_json(spark, sf_dir):
     valid = G.is_json(R.reply_json(F.col("reply")))
-    return _replies(spark, sf_dir).groupBy(F.coalesce(valid, F.lit(False)).alias("valid")).agg(COUNT)
+    return _replies(spark, sf_dir).groupBy(F.coalesce(valid, F.lit(False)).alias("valid")).agg(_count())
 
 
 # --- Streams -----------------------------------------------------------------------------------
