@@ -32,7 +32,7 @@ def _pick(words: tuple[str, ...], key: Column) -> Column:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per order: what is asked for, about which customer or nation, in which period."""
-    orders = table(spark, sf_dir, "orders").join(
+    orders = spread(table(spark, sf_dir, "orders")).join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     key = F.col("o_orderkey")
     nation = F.concat(F.lit("nation_"), F.col("c_nationkey"))
