@@ -91,7 +91,7 @@ class Codec:
         self.known: dict[str, str] = {}
 
     @classmethod
-    def shared(cls, key: int, tokens: list[bytes], pattern: str) -> Codec:
+    def shared(cls, key: object, tokens: list[bytes], pattern: str) -> Codec:
         if key not in cls._made:
             cls._made[key] = cls(tokens, pattern)
         return cls._made[key]
@@ -114,9 +114,9 @@ class Codec:
         return b"".join(map(self.by_text.__getitem__, ids.split()))
 
 
-def _mapper(vocabulary, pattern: str, digests: bool):
+def _mapper(vocabulary, path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.shared(vocabulary.id, vocabulary.value, pattern)
+        codec = Codec.shared((path, pattern), vocabulary.value, pattern)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
     """``<id>, ids array<int>`` per row, in any order of rows. Null and empty texts give an empty array; repeated rows
     repeat; other columns are not read. A text of any length is one row."""
     rows, kind = _rows(docs, id_column, text_column)
-    run = _mapper(_vocabulary(docs.sparkSession, ranks_path), pattern, digests=False)
+    run = _mapper(_vocabulary(docs.sparkSession, ranks_path), ranks_path, pattern, digests=False)
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_column)
 
 
@@ -176,6 +176,6 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_column
     """``<id>, n_tokens, ids_sha256, decoded_sha256``: encodes, decodes what it encoded, and keeps only digests, so that
     no identifiers leave the task. Nulls, empties and repeats as in `encode`."""
     rows, kind = _rows(docs, id_column, text_column)
-    run = _mapper(_vocabulary(docs.sparkSession, ranks_path), pattern, digests=True)
+    run = _mapper(_vocabulary(docs.sparkSession, ranks_path), ranks_path, pattern, digests=True)
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
