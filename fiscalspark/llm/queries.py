@@ -80,3 +80,107 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fiscalspark.llm.byte_bpe import round_trip_digests
 
     return round_trip_digests(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from fiscalspark.llm import scratch, token_store
+
+    docs, folder = table(spark, sf_dir, "documents"), scratch.new_folder(spark, "ids")
+    shards = token_store.write(docs, folder, P.path("byte_bpe_50k.json"), P.PATTERN)
+    scratch.delete_at_end(spark, folder)
+    read = token_store.read(spark, shards, docs.schema["doc_id"].dataType.simpleString())
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm import scratch, warc
+
+    pages, folder = table(spark, sf_dir, "pages"), scratch.new_folder(spark, "warc")
+    records = warc.read(spark, warc.write(pages, folder))
+    scratch.delete_at_end(spark, folder)
+    return records.select(
+        F.col("record_id").cast("bigint").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("bigint"), "stated_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "stated_digest").alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+SQL["op3_warc_bundles"] = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of conversations with the same opening, and each conversation against itself with an echo for an answer."""
+    from fiscalspark.llm import preference as P
+
+    convs = P.conversations(table(spark, sf_dir, "conversations"))
+    pairs = P.pair_by_opening(convs).unionByName(P.pair_with_echo(convs))
+
+    def shown(spans: str):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
+
+    return P.format_pairs(pairs).select(
+        "chosen_id", "rejected_id", "n_common", F.sha2("prompt", 256).alias("prompt_sha256"), "chosen", "rejected",
+        shown("chosen_spans").alias("chosen_spans"), shown("rejected_spans").alias("rejected_spans"))
+
+
+SQL["op2_preference_format"] = r"""
+WITH c AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations GROUP BY conv_id),
+o AS (
+  SELECT *, min(conv_id) OVER (PARTITION BY turns[1]) AS first_id,
+         first_value(turns) OVER (PARTITION BY turns[1] ORDER BY conv_id) AS first_turns
+  FROM c WHERE conv_id IS NOT NULL),
+a AS (
+  SELECT *, len(turns) - list_position(list_reverse(list_transform(turns, lambda t: t.role = 'assistant')), true) + 1 AS pos
+  FROM c),
+pairs AS (
+  SELECT first_id AS chosen_id, conv_id AS rejected_id, first_turns AS a, turns AS b FROM o WHERE conv_id <> first_id
+  UNION ALL
+  SELECT conv_id, conv_id, turns,
+         CASE WHEN pos IS NULL THEN turns ELSE list_concat(turns[1:pos - 1],
+              [{'role': 'assistant', 'text': CASE WHEN pos > 1 THEN turns[pos - 1].text ELSE '' END}]) END
+  FROM a),
+n AS (
+  SELECT *, (SELECT count(*) FROM range(1, least(len(a), len(b)) + 1) r(i)
+             WHERE array_to_string(list_transform(a[1:i], lambda t: t.role || chr(1) || t.text), chr(2))
+                 = array_to_string(list_transform(b[1:i], lambda t: t.role || chr(1) || t.text), chr(2))) AS n_common
+  FROM pairs),
+s AS (
+  SELECT chosen_id, rejected_id, n_common,
+         list_transform(a, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS pa, a[n_common + 1:] AS ra,
+         list_transform(b, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)) AS pb, b[n_common + 1:] AS rb
+  FROM n)
+SELECT chosen_id, rejected_id, n_common, sha256(coalesce(array_to_string(pa[1:n_common], ''), '')) AS prompt_sha256,
+       coalesce(array_to_string(pa[n_common + 1:], ''), '') AS chosen,
+       coalesce(array_to_string(pb[n_common + 1:], ''), '') AS rejected,
+       coalesce(array_to_string(list_filter(list_transform(ra, lambda t, i: CASE WHEN t.role = 'assistant' THEN
+         (coalesce(list_sum(list_transform(pa[n_common + 1:n_common + i - 1], lambda p: len(p))), 0) + 22)::BIGINT || ':' ||
+         (list_sum(list_transform(pa[n_common + 1:n_common + i], lambda p: len(p))) - 1)::BIGINT END), lambda x: x IS NOT NULL), ','), '') AS chosen_spans,
+       coalesce(array_to_string(list_filter(list_transform(rb, lambda t, i: CASE WHEN t.role = 'assistant' THEN
+         (coalesce(list_sum(list_transform(pb[n_common + 1:n_common + i - 1], lambda p: len(p))), 0) + 22)::BIGINT || ':' ||
+         (list_sum(list_transform(pb[n_common + 1:n_common + i], lambda p: len(p))) - 1)::BIGINT END), lambda x: x IS NOT NULL), ','), '') AS rejected_spans
+FROM s
+"""
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
