@@ -184,3 +184,27 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fiscalspark.llm.html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm import toxicity
+    from fiscalspark.llm.samples import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm import quality
+    from fiscalspark.llm.samples import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
