@@ -1,15 +1,72 @@
-"""A corpus pipeline: toxicity, exact dedup, near-duplicate join, benchmark decontamination, byte-level BPE."""
+"""A corpus pipeline over the table of documents.
+
+Stages: toxic documents go; one of each set of equal texts stays; one of each near-duplicate component stays; documents
+contaminated by the benchmark go; what is left is encoded by byte-level BPE. Every stage works on all documents that the
+one before kept, and all but the last return the columns of documents. A document row is told from others by its
+identifier: rows that repeat one are kept or dropped together by the stages that join on it, except that exact
+deduplication leaves one. Rows without identifier are judged like any other by the toxicity stage and pass the stages
+that join on the identifier unless they fail them as a group.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from fiscalspark.llm import byte_bpe, content_sort, decontaminate, ngram_join, scratch, toxicity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose identifiers are listed, with their own columns."""
+    names = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(names, docs["doc_id"].eqNullSafe(names["_kept"]), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold of a model fitted on these documents and the visible labels."""
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.keep_below(docs, model, toxicity.THRESHOLD)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest identifier of each set of equal texts stays, once."""
+    kept = content_sort.exact_groups(docs).where("kept").select(
+        F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_text"))
+    keyed = docs.withColumn("_text", F.sha2(content_sort.normalised(F.col("text")), 256))
+    same = keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed["_text"] == kept["_kept_text"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest identifier of each component stays."""
+    return _only(docs, ngram_join.near_duplicates(docs).where("doc_id <=> component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the identifiers and of the bytes that they decode to."""
+    import public_tokenizers as P
+
+    return byte_bpe.round_trip_digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated), ("byte-level BPE", encode),
+]
+#: The toxicity model is trained and the encoding is a library's: no SQL; tested against a plain version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; each stage's result is a table in the shared folder that the next one reads."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

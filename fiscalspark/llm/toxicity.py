@@ -193,3 +193,18 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     kind = rows.schema["id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
     return rows.mapInArrow(_scorer(held), f"id {kind}, score double").withColumnRenamed("id", id_column)
+
+
+def _filter(model, place: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = model.value
+        for batch in batches:
+            texts = batch.column(place).cast(pa.large_binary()).fill_null(b"").to_pylist()
+            yield batch.filter(pa.array(sigmoid(fitted.margins(texts)) < threshold))
+    return run
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows that score below the threshold, with all their columns, in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_filter(held, docs.columns.index(text_column), threshold), docs.schema)
