@@ -16,20 +16,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fiscalspark.llm import scratch, zframes
+from fiscalspark.llm.byte_bpe import byte_characters
 
-#: Distinct pre-tokens whose encoding a task remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Distinct pre-tokens, and chunks between spaces, whose encoding a task remembers; then it starts anew.
+REMEMBERED = 400_000
 #: Documents that one read task's unit holds at most, and identifiers in one batch of rows.
 UNIT_DOCS = 2_000
 BATCH_IDS = 1 << 20
 END_ID = 0
 
 
+class _RunOfSpaces(Exception):
+    """A space that does not stand alone."""
+
+
 class PieceEncoder:
     """A tokenizers file, encoded pre-token by pre-token with a memory of those seen.
 
-    ``pattern`` is the splitting pattern of the file's pre-tokenizer (byte-level, no prefix space, no normaliser). A
-    text that holds an added token, and every text if no pattern is given, goes to the library whole.
+    ``pattern`` is the splitting pattern of the file's pre-tokenizer (byte-level, no prefix space, no normaliser); each
+    pre-token then goes straight to the library's model. A text that holds an added token, and every text if no pattern
+    is given, goes to the library whole.
     """
 
     _made: dict = {}
@@ -41,7 +47,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = regex.compile(pattern).findall if pattern else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
+        self.shown = {b: ord(c) for b, c in enumerate(byte_characters())}
         self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str, pattern: str | None) -> PieceEncoder:
@@ -55,15 +64,47 @@ class PieceEncoder:
     def _learn(self, piece: str) -> bytes:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        out = self.known[piece] = self._whole(piece)
+        out = self.known[piece] = self._merge(piece)
+        return out
+
+    def _merge(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.shown)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(mapped)])
+
+    def _cut(self, text: str) -> bytes:
+        known, learn = self.known, self._learn
+        return b"".join([known.get(p) or learn(p) for p in self.cut(text)])
+
+    def _learn_chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _RunOfSpaces
+        if len(self.chunks) >= REMEMBERED:
+            self.chunks.clear()
+        word, end = chunk[:-1], chunk[-1]
+        if chunk.isalpha():  # one pre-token
+            out = self._merge(f" {chunk}")
+        elif end in ",." and word.isalpha():  # two
+            out = (self.chunks.get(word) or self._learn_chunk(word)) + (self.known.get(end) or self._learn(end))
+        else:
+            out = self._cut(f" {chunk}")
+        self.chunks[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        """Identifiers as little-endian unsigned 32-bit integers."""
+        """Identifiers as little-endian unsigned 32-bit integers.
+
+        No pre-token reaches over the begin of a space that stands between two other characters, so what such spaces
+        part is looked up as a whole first. A text with longer runs of white space is cut by the pattern alone."""
         if not self.cut or any(t in text for t in self.added):
             return self._whole(text)
-        known, learn = self.known, self._learn
-        return b"".join([known.get(p) or learn(p) for p in self.cut(text)])
+        head, *rest = text.split(" ")
+        if rest and (not head or head[-1].isspace()):
+            return self._cut(text)
+        chunks, learn = self.chunks, self._learn_chunk
+        try:
+            return self._cut(head) + b"".join([chunks.get(c) or learn(c) for c in rest])
+        except _RunOfSpaces:
+            return self._cut(text)
 
 
 def _writer(folder: str, path: str, pattern: str | None, end_id: int):
