@@ -8,20 +8,22 @@ from fiscalspark.functions.text import search_text
 
 # --- Fixed values ------------------------------------------------------------------------------
 # Words that carry no subject in a report question.
-STOPWORDS = """
-а был была были было в во выплат выплата выплаты где год года годам году данные для до за из и или
-источник источникам источники источнику итого как какая какие какой кассовые кассовых контракт
-контрактам контрактов лимит лимиты месяц месяцам на об от по покажи показать получено потрачен
-потрачено потраченные потратили оплат оплата платеж платежи про договор договоров обязательства
-остаток нибудь расход расходы сколько средств сумма суммарно суммы соглашений соглашения тема теме
-темой тему траты что это
-""".split()
+STOPWORDS = (
+    "а", "был", "была", "были", "было", "в", "во", "выплат", "выплата", "выплаты", "где", "год", "года", "годам",
+    "году", "данные", "для", "до", "за", "из", "и", "или", "источник", "источникам", "источники", "источнику",
+    "итого", "как", "какая", "какие", "какой", "кассовые", "кассовых", "контракт", "контрактам", "контрактов",
+    "лимит", "лимиты", "месяц", "месяцам", "на", "об", "от", "по", "покажи", "показать", "получено", "потрачен",
+    "потрачено", "потраченные", "потратили", "оплат", "оплата", "платеж", "платежи", "про", "договор",
+    "договоров", "обязательства", "остаток", "нибудь", "расход", "расходы", "сколько", "средств", "сумма",
+    "суммарно", "суммы", "соглашений", "соглашения", "тема", "теме", "темой", "тему", "траты", "что", "это",
+)
 
 # Word endings removed by the stemmer, longer ones before the shorter ones they contain.
-SUFFIXES = """
-иями ями ами ого ему ыми ими ской скому ские ский ская ское его ому ой ей ая яя ое ее ые ие ом ем
-ам ям ах ях ов ев ий ый ую юю а я ы и у ю е о
-""".split()
+SUFFIXES = (
+    "иями", "ями", "ами", "ого", "ему", "ыми", "ими", "ской", "скому", "ские", "ский", "ская", "ское", "его",
+    "ому", "ой", "ей", "ая", "яя", "ое", "ее", "ые", "ие", "ом", "ем", "ам", "ям", "ах", "ях", "ов", "ев", "ий",
+    "ый", "ую", "юю", "а", "я", "ы", "и", "у", "ю", "е", "о",
+)
 
 # Metric hints in order of precedence for a bare question.
 METRIC_HINTS = {
@@ -59,9 +61,9 @@ def search_terms(text: Column) -> Column:
     """Distinct stemmed subject words of a text in order of appearance (ARRAY<STRING>)."""
     words = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), search_text)
     subject = F.filter(
-        words, lambda w: (F.length(w) >= MIN_TERM) & ~w.rlike("[0-9]") & ~w.isin(STOPWORDS)
+        words, lambda w: (F.length(w) >= MIN_TERM) & ~w.rlike("[0-9]") & ~w.isin(*STOPWORDS)
     )
-    stems = F.filter(F.transform(subject, stem), lambda w: (F.length(w) >= MIN_TERM) & ~w.isin(STOPWORDS))
+    stems = F.filter(F.transform(subject, stem), lambda w: (F.length(w) >= MIN_TERM) & ~w.isin(*STOPWORDS))
     return F.array_distinct(stems)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalspark.functions.language import search_terms
-from fiscalspark.functions.text import normalize_code, search_text
+from fiscalspark.functions.text import normalize_code
 from fiscalspark.plans.request import Filters, Request
 from fiscalspark.schema import EXACT_FILTERS, TEXT_SEARCH_COLUMNS
 
@@ -31,24 +31,15 @@ def haystack() -> Column:
     return F.lower(F.concat_ws(_BREAK, *TEXT_SEARCH_COLUMNS, F.to_json("raw_data")))
 
 
-def request_terms(spark: SparkSession, text: str) -> list[str]:
-    """Subject terms of a request's own search text.
+def text_search(text: str) -> Column:
+    """Facts that mention every subject term of the text in any searchable column.
 
-    One constant row: the optimizer evaluates it while planning, no job runs.
+    The terms of a constant text are a constant of the plan; the haystack of a row is built once for all of them.
     """
-    one = spark.createDataFrame([(text,)], "text string")
-    return one.select(search_terms(F.col("text")).alias("terms")).first()["terms"]
+    return F.forall(search_terms(F.lit(text)), lambda term: F.contains(haystack(), term))
 
 
-def text_search(terms: list[str]) -> list[Column]:
-    """Facts that mention every term in any searchable column.
-
-    The conjunction short-circuits, so the haystack of a row is rebuilt only while terms keep matching.
-    """
-    return [F.contains(haystack(), F.lit(term)) for term in terms]
-
-
-def _conditions(spark: SparkSession, request: Request, normalize_codes: bool) -> list[Column]:
+def _conditions(request: Request, normalize_codes: bool) -> list[Column]:
     filters: Filters = request.filters
     found = [F.col("batch_id") == request.batch_id]
     if request.date_from:
@@ -64,7 +55,7 @@ def _conditions(spark: SparkSession, request: Request, normalize_codes: bool) ->
         if query:
             found.append(reduce(or_, [contains_ci(F.col(t), query) for t in targets]))
     if filters.text_search:
-        found.extend(text_search(request_terms(spark, filters.text_search)))
+        found.append(text_search(filters.text_search))
     for name in EXACT_FILTERS:
         value = getattr(filters, name)
         if value:
@@ -75,10 +66,4 @@ def _conditions(spark: SparkSession, request: Request, normalize_codes: bool) ->
 
 def matching(facts: DataFrame, request: Request, normalize_codes: bool = False) -> DataFrame:
     """Facts a request is about. Null columns never match a condition put on them."""
-    return facts.where(reduce(and_, _conditions(facts.sparkSession, request, normalize_codes)))
-
-
-def option_contains(option: Column, query: Column) -> Column:
-    """Is the folded query a non-empty part of the folded option?"""
-    needle = search_text(query)
-    return (needle != "") & F.contains(search_text(option), needle)
+    return facts.where(reduce(and_, _conditions(request, normalize_codes)))

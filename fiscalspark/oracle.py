@@ -226,7 +226,7 @@ SQL["filter_option_dates"] = on_facts("SELECT MIN(date) AS date_min, MAX(date) A
 
 _LABELLED = (
     f"labelled AS (SELECT coalesce(object_name, 'Все объекты') AS object, coalesce({MONTH}, '— — —') AS period, "
-    "metric, value FROM facts WHERE source_group IN ('rchb', 'agreements', 'gz'))"
+    "metric, value FROM facts WHERE source_group IN ('rchb', 'agreements', 'gz', 'buau'))"
 )
 
 
@@ -253,7 +253,7 @@ SQL["report_detail"] = on_facts(
 SQL["metric_labels"] = on_facts(
     f"SELECT {labels('source_group', SOURCE_GROUP_LABELS)} AS source_label, {labels('metric', METRIC_LABELS)} "
     f"AS metric_label, {MONEY} AS value FROM facts GROUP BY source_group, metric")
-_REPORT_FACTS = "(SELECT * FROM facts WHERE source_group IN ('rchb', 'agreements', 'gz'))"
+_REPORT_FACTS = "(SELECT * FROM facts WHERE source_group IN ('rchb', 'agreements', 'gz', 'buau'))"
 _GROUP_COUNT = f"(SELECT COUNT(*) FROM (SELECT 1 FROM {_REPORT_FACTS} GROUP BY year, month, object_name, metric))"
 SQL["report_parameters"] = on_facts(
     "SELECT CAST(position AS INTEGER) AS position, name, value FROM (VALUES (0, 'Отчёт', 'Бюджетная аналитика'), "

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from fiscalspark.functions.language import GROUP_BY_HINTS, INTERPRETATION_ORDER, METRIC_HINTS, STOPWORDS, SUFFIXES
 from fiscalspark.oracle import MONEY, SQL, on_facts
 from fiscalspark.plans import training as G
 from fiscalspark.plans.resolve import UNAVAILABLE
@@ -10,6 +9,39 @@ from fiscalspark.queries_text import ENDINGS, SUBJECT_WORDS
 
 N = "COUNT(*) AS n"
 
+# --- Fixed values: what the questions' language is expected to be, apart from the code under test ---
+STOPWORDS = (
+    "а", "был", "была", "были", "было", "в", "во", "выплат", "выплата", "выплаты", "где", "год", "года", "годам",
+    "году", "данные", "для", "до", "за", "из", "и", "или", "источник", "источникам", "источники", "источнику",
+    "итого", "как", "какая", "какие", "какой", "кассовые", "кассовых", "контракт", "контрактам", "контрактов",
+    "лимит", "лимиты", "месяц", "месяцам", "на", "об", "от", "по", "покажи", "показать", "получено", "потрачен",
+    "потрачено", "потраченные", "потратили", "оплат", "оплата", "платеж", "платежи", "про", "договор",
+    "договоров", "обязательства", "остаток", "нибудь", "расход", "расходы", "сколько", "средств", "сумма",
+    "суммарно", "суммы", "соглашений", "соглашения", "тема", "теме", "темой", "тему", "траты", "что", "это",
+)
+SUFFIXES = (
+    "иями", "ями", "ами", "ого", "ему", "ыми", "ими", "ской", "скому", "ские", "ский", "ская", "ское", "его",
+    "ому", "ой", "ей", "ая", "яя", "ое", "ее", "ые", "ие", "ом", "ем", "ам", "ям", "ах", "ях", "ов", "ев", "ий",
+    "ый", "ую", "юю", "а", "я", "ы", "и", "у", "ю", "е", "о",
+)
+METRIC_HINTS = {
+    "cash_payments": ("кассов", "выбыти", "расход", "потра", "трат"),
+    "limits": ("лимит",),
+    "agreement_amount": ("соглаш",),
+    "contract_amount": ("контракт", "договор"),
+    "contract_payment": ("платеж", "оплат"),
+    "obligations_without_bo": ("без бо",),
+    "obligations": ("обязатель", "бо"),
+    "remaining_limits": ("остаток лимит",),
+}
+INTERPRETATION_ORDER = ("limits", "cash_payments")
+GROUP_BY_HINTS = {
+    "month": ("по месяц", "помесяч", "ежемесяч"),
+    "year": ("по год", "ежегод"),
+    "day": ("по дням", "по датам", "по дня"),
+}
+# -----------------------------------------------------------------------------------------------
+
 
 def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -22,7 +54,9 @@ QUESTIONS = (
     "FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"
 )
 _FOLDED = "replace(lower(text_query), 'ё', 'е')"
-_STEM = f"regexp_replace(w, '^(.{{4,}}?)(?:{'|'.join(SUFFIXES)})$', '\\1')"
+# The first listed ending that leaves four letters goes.
+_STEM = "CASE " + " ".join(
+    f"WHEN ends_with(w, '{s}') AND length(w) >= {4 + len(s)} THEN left(w, length(w) - {len(s)})" for s in SUFFIXES) + " ELSE w END"
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 
@@ -203,19 +237,23 @@ SQL["training_records"] = on_facts(
     f"SELECT metric, group_by, {N}, COUNT(*) AS with_text FROM examples GROUP BY 1, 2", *_TRAINING)
 _SIZE = "greatest(12, CAST(floor(COUNT(*) * 0.16) AS BIGINT))"
 SQL["train_val_split"] = on_facts(
-    f"SELECT 'validation' AS split, {_SIZE} AS n FROM examples UNION ALL SELECT 'train', COUNT(*) - {_SIZE} FROM examples",
-    *_TRAINING)
+    "SELECT text_query, CASE WHEN row_number() OVER (ORDER BY h, text_query) <= size THEN 'validation' ELSE 'train' END AS split "
+    "FROM (SELECT text_query, CAST('0x' || substr(md5('42:' || text_query), 1, 15) AS BIGINT) AS h FROM examples), "
+    f"(SELECT {_SIZE} AS size FROM examples)", *_TRAINING)
 SQL["training_text"] = on_facts("SELECT COUNT(*) AS n, COUNT(*) AS whole FROM examples", *_TRAINING)
 SQL["training_audit"] = on_facts(
     "SELECT COUNT(*) AS records, CAST(0 AS BIGINT) AS text_not_in_prompt, CAST(0 AS BIGINT) AS missing_root_keys, "
     "CAST(0 AS BIGINT) AS missing_filter_keys, CAST(0 AS BIGINT) AS invalid_json FROM examples", *_TRAINING)
 SQL["training_manifest"] = on_facts(
     f"SELECT 'budget_query_to_json' AS task, COUNT(*) AS total_records, COUNT(*) - {_SIZE} AS train_records, {_SIZE} AS "
-    "validation_records, 42 AS seed FROM examples", *_TRAINING)
+    "validation_records, 42 AS seed, CAST(0.16 AS DOUBLE) AS validation_share, "
+    "'date_from,date_to,metrics,filters,group_by' AS root_keys, 'source_groups,object_query,budget_query,organization_query,"
+    "document_id,document_number,kfsr_code,kcsr_code,kvr_code,kvsr_code,kesr_code,kosgu_code,purpose_code,funding_source' "
+    "AS filter_keys FROM examples", *_TRAINING)
 
 # --- Streams -----------------------------------------------------------------------------------
 
 SQL["stream_live_totals"] = on_facts(
-    f"SELECT metric, year, month, {MONEY} AS value FROM facts WHERE source_group IN ('buau', 'gz') GROUP BY 1, 2, 3")
+    f"SELECT metric, year, month, {MONEY} AS value FROM facts GROUP BY 1, 2, 3")
 SQL["stream_first_agreements"] = on_facts(
     "SELECT document_id, object_name, date, metric, value FROM facts WHERE source_group = 'agreements'")

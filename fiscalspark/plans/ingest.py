@@ -39,18 +39,12 @@ class Normalized:
     counts: DataFrame
 
 
-def materialize(df: DataFrame, name: str, held: list[DataFrame] | None = None) -> DataFrame:
+def materialize(df: DataFrame, _name: str, held: list[DataFrame] | None = None) -> DataFrame:
     """Keep a result that several outputs read, so the raw files are not parsed once per output.
 
-    With a shared checkpoint folder it becomes a table there, which outlives lost executors; otherwise
-    it is persisted with its lineage intact.
+    It is persisted with its lineage intact: nothing runs until an output is read, a lost executor's part is computed
+    again, and nothing stays behind once `Import.release` or the end of the session drops it.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        path = f"{shared.rstrip('/')}/fiscalspark/{name}-{uuid.uuid4()}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     if held is not None:
         held.append(kept)

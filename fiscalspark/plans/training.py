@@ -73,7 +73,7 @@ DEFAULT_INSTRUCTION = (
     "Преобразуй вопрос о бюджете в JSON с ключами date_from, date_to, metrics, filters, group_by.\n"
     f"Показатели: {', '.join(METRIC_PHRASES)}.\nФильтры: {', '.join(FILTER_KEYS)}."
 )
-SPLIT_BUCKETS = 1 << 16
+SPLIT_BITS = 16
 
 _S, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
 TARGET_TYPE = T.StructType([
@@ -227,27 +227,28 @@ def records(example: DataFrame, instruction: str = DEFAULT_INSTRUCTION) -> DataF
         completion(F.col("target")).alias("completion"), "target")
 
 
+def split_hash(text: Column, seed: int) -> Column:
+    """Sixty bits of a digest of seed and text (BIGINT, not negative), the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 15), 16, 10).cast("bigint")
+
+
 def split(record: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds ``split``: exactly max(12, 16 %) records are validation, chosen by a seeded hash.
+    """Adds ``split``: exactly max(12, 16 %) records are validation, those with the smallest seeded hashes.
 
-    The boundary of a global order is found from counts per hash bucket; only the bucket it falls into
-    is ranked. Nothing is sorted globally, collected, or put into one partition.
+    The border of the global order is found from counts per range of hashes, for which the texts alone are read; the
+    records are read once, ranked inside their range. Nothing is sorted globally, collected, or put into one partition.
     """
-    hashed = record.withColumn("_hash", F.xxhash64("text_query", F.lit(seed))).withColumn(
-        "_bucket", F.pmod("_hash", F.lit(SPLIT_BUCKETS)))
-    running = Window.orderBy("_bucket")
+    hashed = record.withColumn("_hash", split_hash(F.col("text_query"), seed)).withColumn(
+        "_bucket", F.shiftright("_hash", 60 - SPLIT_BITS))
+    # At most 2^SPLIT_BITS rows, whatever the data: bounded windows and a bounded broadcast.
     sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    total = sizes.agg(F.sum("_size")).scalar()
-    quota = F.greatest(F.lit(MIN_VALIDATION), F.floor(total * F.lit(VALIDATION_SHARE)))
-    # At most SPLIT_BUCKETS rows, whatever the data: a bounded window and a bounded broadcast.
-    bounds = sizes.withColumn("_open", quota - (F.sum("_size").over(running) - F.col("_size")))
-    placed = hashed.join(F.broadcast(bounds), "_bucket")
-    on_border = (F.col("_open") > 0) & (F.col("_open") < F.col("_size"))
-    ranked = placed.where(on_border).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", "text_query")))
-    whole = placed.where(~on_border).withColumn("_rank", F.lit(1))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.greatest(F.lit(MIN_VALIDATION), F.floor(F.sum("_size").over(Window.partitionBy(F.lit(0))) * F.lit(VALIDATION_SHARE)))
+    bounds = sizes.select("_bucket", (quota - F.coalesce(F.sum("_size").over(before), F.lit(0))).alias("_open"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", "text_query"))
+    ranked = hashed.withColumn("_rank", rank).join(F.broadcast(bounds), "_bucket")
     name = F.when(F.col("_rank") <= F.col("_open"), "validation").otherwise("train")
-    return whole.unionByName(ranked).withColumn("split", name).select(*record.columns, "split")
+    return ranked.withColumn("split", name).select(*record.columns, "split")
 
 
 def training_text(record: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def filter_option_dates(spark, sf_dir):
 # --- Report sheets -----------------------------------------------------------------------------
 
 _REPORT = Request(
-    BATCH, filters=Filters(source_groups=("rchb", "agreements", "gz")), group_by=("month", "object_name"))
+    BATCH, filters=Filters(source_groups=("rchb", "agreements", "gz", "buau")), group_by=("month", "object_name"))
 _REPORT_COLUMNS = ("source_group", "year", "month", "object_name")
 
 

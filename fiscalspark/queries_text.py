@@ -12,7 +12,7 @@ from fiscalspark.plans import examples as X, resolve as R, training as G
 from fiscalspark.queries import _facts, query
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import mart
-from fiscalspark.sources.mart import spread, table
+from fiscalspark.sources.mart import table
 from fiscalspark.streaming import jobs
 
 
@@ -32,7 +32,7 @@ def _pick(words: tuple[str, ...], key: Column) -> Column:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per order: what is asked for, about which customer or nation, in which period."""
-    orders = spread(table(spark, sf_dir, "orders")).join(
+    orders = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     key = F.col("o_orderkey")
     nation = F.concat(F.lit("nation_"), F.col("c_nationkey"))
@@ -44,7 +44,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_terms")
 def text_terms(spark, sf_dir):
     """Search terms of whole documents, counted by document."""
-    terms = spread(table(spark, sf_dir, "documents")).select("doc_id", L.search_terms(F.col("text")).alias("terms"))
+    terms = table(spark, sf_dir, "documents").select("doc_id", L.search_terms(F.col("text")).alias("terms"))
     return terms.select(
         "doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", " ")).alias("digest"))
 
@@ -125,12 +125,12 @@ def reclassify_org(spark, sf_dir):
         F.col("patch.filters.object_query").alias("object_query"))
 
 
-def _resolved(done: DataFrame) -> DataFrame:
+def _resolved(done: DataFrame, *more: str) -> DataFrame:
     wanted = ("organization_query", "kvr_code", "text_search")
     return done.select(
         "query_id", F.col("resolved.date_from").alias("date_from"), F.col("resolved.date_to").alias("date_to"),
         F.array_join("resolved.metrics", ",").alias("metrics"), F.array_join("resolved.group_by", ",").alias("group_by"),
-        *[F.col(f"resolved.filters.{f}").alias(f) for f in wanted])
+        *[F.col(f"resolved.filters.{f}").alias(f) for f in wanted], *more)
 
 
 @query("merge_request_patch")
@@ -146,7 +146,7 @@ def resolve_safety(spark, sf_dir):
 @query("resolve_no_interpretation")
 def resolve_no_interpretation(spark, sf_dir):
     done = R.resolve(_asked(spark, sf_dir), unavailable=True)
-    return _resolved(done).join(done.select("query_id", "interpreted", "warning"), "query_id")
+    return _resolved(done, "interpreted", "warning")
 
 
 def _replies(spark, sf_dir) -> DataFrame:
@@ -230,7 +230,8 @@ def training_records(spark, sf_dir):
 
 @query("train_val_split")
 def train_val_split(spark, sf_dir):
-    return G.split(G.records(_examples(spark, sf_dir))).groupBy("split").agg(_count())
+    """Which question is in which part."""
+    return G.split(_examples(spark, sf_dir).select("text_query"))
 
 
 @query("training_text")
@@ -247,8 +248,8 @@ def training_audit(spark, sf_dir):
 
 @query("training_manifest")
 def training_manifest(spark, sf_dir):
-    manifest = G.manifest(G.split(G.records(_examples(spark, sf_dir))))
-    return manifest.select("task", "total_records", "train_records", "validation_records", "seed")
+    manifest = G.manifest(G.split(_examples(spark, sf_dir).select("text_query")))
+    return manifest.drop("instruction").withColumns({k: F.array_join(k, ",") for k in ("root_keys", "filter_keys")})
 
 
 @query("reply_is_json")
@@ -272,11 +273,11 @@ def _stored_facts(spark: SparkSession, sf_dir: str, groups: tuple[str, ...]) ->
 
 @query("stream_live_totals")
 def stream_live_totals(spark, sf_dir):
-    facts = _stored_facts(spark, sf_dir, ("buau", "gz"))
+    facts = _stored_facts(spark, sf_dir, tuple(mart.GROUP_METRICS))
     out = _scratch(spark, "totals")
     stream = jobs.live_totals(jobs.fact_stream(spark, facts))
     jobs.write_totals(stream, out, _scratch(spark, "marks")).awaitTermination()
-    return spark.read.parquet(out)
+    return jobs.read_totals(spark, out)
 
 
 @query("stream_first_agreements")

@@ -10,6 +10,7 @@ per block), and ``parse`` reads the records.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import itertools
 import re
@@ -17,16 +18,16 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 
 DELIMITERS = (";", ",", "\t")
 HEADER_WINDOW = 80  # records searched for the header
 SNIFF_CHARS = 10_000  # characters the delimiter is guessed from
-HEAD_BYTES = 1 << 20  # blocks starting beyond this offset never hold the header window
-MAX_HEAD = 16 << 20  # an unclosed quote must not turn a whole block into its head
 MIN_HEADER_CELLS = 5
 REQUIRED_HEADERS = {"бюджет", "датапроводки"}
 HEADER_FIRST_GROUPS = ("agreements", "gz")
-CELL_LIMIT = 131_072  # longest cell the csv module accepts
+CELL_LIMIT = 131_072  # longest cell the csv module accepts; a file with a longer one is refused and reported
+HASH_PIECE = 1 << 20
 OUTPUT_ROWS = 4_096
 ARCHIVE_CHUNK = 32 << 20
 
@@ -90,8 +91,8 @@ def _summarize_block(path: str, block: int, lines: Iterator[bytes]) -> tuple:
     is_open = [start for _, start in states]
     records = [0] * len(states)
     size, utf8, undefined = 0, True, False
-    keep_head = block < HEAD_BYTES
-    head, head_chars = [], 0
+    keep_head = True
+    head, head_chars, cell_chars = [], 0, [0] * len(states)
     for raw in lines:
         try:
             raw.decode("utf-8")
@@ -100,7 +101,8 @@ def _summarize_block(path: str, block: int, lines: Iterator[bytes]) -> tuple:
         undefined = undefined or b"\x98" in raw
         for line in _lines(raw):
             size += len(line) + 1
-            wanted = head_chars < 4 * SNIFF_CHARS or (min(records[::2]) <= HEADER_WINDOW and head_chars < MAX_HEAD)
+            wanted = head_chars < 4 * SNIFF_CHARS or any(
+                n <= HEADER_WINDOW and chars <= CELL_LIMIT for n, chars in zip(records[::2], cell_chars[::2]))
             if keep_head and wanted:
                 head.append(line)
                 head_chars += len(line) + 1
@@ -114,6 +116,7 @@ def _summarize_block(path: str, block: int, lines: Iterator[bytes]) -> tuple:
                         is_open[i] = _leaves_open(text, delimiter, is_open[i])
                     except csv.Error:  # an oversized cell: reported when the block is parsed
                         is_open[i] = False
+                cell_chars[i] = cell_chars[i] + len(line) + 1 if is_open[i] else 0
     return path, block, size, utf8, undefined, head, keep_head, records, is_open
 
 
@@ -246,6 +249,25 @@ def join_fragments(batches) -> Iterator[pa.RecordBatch]:
     yield from _emit(rows(), RECORD_ARROW)
 
 
+def hash_files(batches) -> Iterator[pa.RecordBatch]:
+    """(path, address) -> (path, SHA-256), read in pieces from any store that pyarrow's file systems open."""
+    from urllib.parse import unquote
+
+    schema = pa.schema([("path", pa.string()), ("sha256", pa.string())])
+
+    def rows() -> Iterator[tuple]:
+        for path, address in _rows(batches):
+            place = re.sub("^file:/*", "/", address)
+            files, name = (fs.LocalFileSystem(), unquote(place)) if place != address else fs.FileSystem.from_uri(address)
+            digest = hashlib.sha256()
+            with files.open_input_stream(name) as stream:
+                while piece := stream.read(HASH_PIECE):
+                    digest.update(piece)
+            yield path, digest.hexdigest()
+
+    yield from _emit(rows(), schema)
+
+
 def _escapes(name: str) -> bool:
     parts = name.replace("\\", "/").split("/")
     depth = 0

@@ -32,16 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use the whole cluster for a table stored in fewer splits than there are cores.
-
-    Only such small inputs are redistributed (a few megabytes per core at most, after column pruning);
-    a table with enough splits is read as it lies, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def money(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("decimal(20,2)")
 

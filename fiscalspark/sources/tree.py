@@ -14,6 +14,7 @@ from fiscalspark.sources import csv_tasks
 cloudpickle.register_pickle_by_value(csv_tasks)
 
 CSV_GLOB = "*.[cC][sS][vV]"
+ADMITTED_GLOB = "*.{[cC][sS][vV],[xX][lL][sS],[xX][lL][sS][xX],[pP][dD][fF]}"
 ZIP_GLOB = "*.[zZ][iI][pP]"
 
 # --- Fixed values ------------------------------------------------------------------------------
@@ -78,16 +79,12 @@ def register(files: DataFrame) -> DataFrame:
     )
 
 
-def hash_files(spark: SparkSession, root: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """SHA-256 per registered file. One digest is one sequential read, so files above ``max_bytes``
-
-    are left out (the size filter is pushed into the scan) and keep a null digest in the registry.
-    """
-    files = _binary(spark, root).where(F.col("length") <= max_bytes)
+def hash_files(spark: SparkSession, root: str) -> DataFrame:
+    """SHA-256 per registered file of any size: a task streams each of its files, none is held as a whole."""
     path = relative_path(F.col("_metadata.file_path"), root)
-    return files.select(path.alias("path"), F.sha2("content", 256).alias("sha256")).where(
-        extension(F.col("path")).isin(*REGISTERED_EXTENSIONS)
-    )
+    files = _binary(spark, root).select(path.alias("path"), F.col("_metadata.file_path").alias("address"))
+    admitted = files.where(extension(F.col("path")).isin(*REGISTERED_EXTENSIONS))
+    return admitted.mapInArrow(csv_tasks.hash_files, "path string, sha256 string")
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tests import exports as E
 
 TREE = {
     "1. РЧБ/август2025.csv": b"\xef\xbb\xbf" + E.RCHB.encode("utf-8"),
-    "1. РЧБ/июль2025.CSV": E.RCHB.replace("100 000,00;", "0,00;").encode("cp1251"),
+    "1. РЧБ/июль2025.CSV": E.RCHB.replace("230 000,00;", "0,00;").encode("cp1251"),
     "2. Соглашения/на01022026.csv": E.agreements(E.agreement_row()),
     "2. Соглашения/на01032026.csv": E.agreements(E.agreement_row(), E.agreement_row(reg="new", close="")),
     "2. Соглашения/на99992025.csv": E.agreements(E.agreement_row(reg="other"), E.agreement_row(reg="x", close="")),
@@ -20,8 +20,8 @@ TREE = {
     "3. ГЗ/Бюджетные строки.csv": E.BUDGET_LINES,
     "3. ГЗ/Платежки.csv": E.PAYMENTS,
     "3. ГЗ/Контракты без номера.csv": E.CONTRACTS + ",К-2,2025-01-16,5.00,1401\n",
-    "3. ГЗ/Платежки большие.csv": E.PAYMENTS.replace("2682663.14", "1" + "0" * 18),
-    "4. Выгрузка БУАУ/хакатон БУАУ август 2025.csv": E.BUAU + ";;;;\n\nИтого;;;;;;;;;;;1,00;1,00;1,00\n",
+    "3. ГЗ/Платежки большие.csv": E.PAYMENTS.replace("198340.07", "1" + "0" * 18),
+    "4. Выплаты БУАУ/сводка август 2025.csv": E.BUAU + ";;;;\n\nИтого;;;;;;;;;;;1,00;1,00;1,00\n",
     "прочее/a+b 100%.csv": "x;y\n1;2\n",
     "прочее/книга.xlsx": b"zz",
     "прочее/заметка.txt": b"zz",
@@ -41,15 +41,15 @@ def _values(imported, path):
 
 def test_rchb_record_gives_five_facts(imported):
     assert _values(imported, "1. РЧБ/август2025.csv") == {
-        "limits": Decimal("1600000.00"), "obligations": Decimal("840000.00"),
-        "obligations_without_bo": Decimal("100000.00"), "remaining_limits": Decimal("760000.00"),
-        "cash_payments": Decimal("620000.00")}
+        "limits": Decimal("2345000.00"), "obligations": Decimal("1115000.00"),
+        "obligations_without_bo": Decimal("230000.00"), "remaining_limits": Decimal("990000.00"),
+        "cash_payments": Decimal("417000.00")}
     fact = imported.facts.where("source_file = '1. РЧБ/август2025.csv' and metric = 'limits'").first()
     assert fact["budget_name"] == fact["object_name"] == "Бюджет города Зеи"
     assert (fact["kfsr_code"], fact["kcsr_code"], fact["kesr_code"]) == ("0502", "0320161058", "241")
     assert (fact["year"], fact["month"], fact["row_number"]) == (2025, 8, 5)
     assert fact["organization_name"] == "Администрация города"
-    assert fact["raw_data"]["Лимиты ПБС 2025 год"] == "1 600 000,00"
+    assert fact["raw_data"]["Лимиты ПБС 2025 год"] == "2 345 000,00"
 
 
 def test_zero_amounts_are_dropped_and_cp1251_is_read(imported):
@@ -60,27 +60,27 @@ def test_zero_amounts_are_dropped_and_cp1251_is_read(imported):
 def test_agreement_snapshots_count_once(imported):
     facts = imported.facts.where("metric = 'agreement_amount'").orderBy("document_number").collect()
     assert [(f["source_file"][-12:-4], f["document_number"], f["value"]) for f in facts] == [
-        ("01022026", "01-39-4662", Decimal("10000000.00")), ("01032026", "new", Decimal("10000000.00"))]
+        ("01022026", "A-17/204", Decimal("6450000.00")), ("01032026", "new", Decimal("6450000.00"))]
     assert str(facts[1]["date"]) == "2026-03-01"
-    assert facts[0]["object_name"] == 'ГАУ "Авиабаза"'
+    assert facts[0]["object_name"] == 'ГАУ "Родник"'
     assert imported.tables["agreements"].count() == 2
 
 
 def test_contract_exports(imported):
-    assert _values(imported, "3. ГЗ/Контракты и договора.csv") == {"contract_amount": Decimal("1821173.90")}
+    assert _values(imported, "3. ГЗ/Контракты и договора.csv") == {"contract_amount": Decimal("734105.25")}
     assert _values(imported, "3. ГЗ/Бюджетные строки.csv") == {}
     payment = imported.facts.where("metric = 'contract_payment'").first()
-    assert payment["value"] == Decimal("2682663.14") and payment["object_name"] is None
+    assert payment["value"] == Decimal("198340.07") and payment["object_name"] is None
     line = imported.tables["contract_budget_lines"].first()
-    assert (line["con_document_id"], line["kvsr_code"], line["purpose_code"]) == ("9598856", "002", "ОБ-1")
+    assert (line["con_document_id"], line["kvsr_code"], line["purpose_code"]) == ("7300412", "002", "ОБ-1")
     assert imported.tables["contracts"].count() == 1 and imported.tables["payments"].count() == 1
 
 
 def test_institution_payments(imported):
-    path = "4. Выгрузка БУАУ/хакатон БУАУ август 2025.csv"
+    path = "4. Выплаты БУАУ/сводка август 2025.csv"
     assert _values(imported, path) == {
-        "institution_payments_with_refund": Decimal("44622636.12"),
-        "institution_payments_execution": Decimal("44622636.12")}
+        "institution_payments_with_refund": Decimal("5310428.64"),
+        "institution_payments_execution": Decimal("5310428.64")}
     row = imported.tables["institution_payments"].first()
     assert row["amount_recovery"] == Decimal("0.00") and row["subsidy_code"] == "СУБ1"
 
@@ -99,7 +99,7 @@ def test_registry_and_batch(imported):
     assert (first["rows_count"], first["raw_rows_imported"], first["normalized_rows_imported"]) == (1, 1, 5)
     assert registry["1. РЧБ/июль2025.CSV"]["encoding"] == "cp1251"
     assert len(first["sha256"]) == 64
-    buau = registry["4. Выгрузка БУАУ/хакатон БУАУ август 2025.csv"]
+    buau = registry["4. Выплаты БУАУ/сводка август 2025.csv"]
     assert (buau["rows_count"], buau["raw_rows_imported"], buau["normalized_rows_imported"]) == (4, 1, 3)
     assert registry["прочее/a+b 100%.csv"]["raw_rows_imported"] == 1
     batch = imported.batch.first()

@@ -8,7 +8,7 @@ from fiscalspark.functions import periods as P, text as X
 from fiscalspark.sources import tree
 
 CASES = [
-    (X.parse_amount, "1 600 000 000,50", Decimal("1600000000.50")), (X.parse_amount, "-37 206,75", Decimal("-37206.75")),
+    (X.parse_amount, "2 050 300 400,25", Decimal("2050300400.25")), (X.parse_amount, "-81 119,05", Decimal("-81119.05")),
     (X.parse_amount, "", None), (X.parse_amount, "1.2.3", None), (X.parse_amount, "12-34", None),
     (X.parse_amount, "0,125", Decimal("0.12")), (X.parse_amount, "0,135", Decimal("0.14")), (X.parse_amount, "5.", Decimal("5.00")),
     (P.parse_date, "01.09.2025", date(2025, 9, 1)), (P.parse_date, "2025-03-07 00:00:00.000", date(2025, 3, 7)),

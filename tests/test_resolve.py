@@ -79,14 +79,14 @@ def test_replies_are_coerced_and_completed(spark):
     replies = [
         ("лимиты по Зее", '```json\n{"metrics": ["LIMITS", "x", "limits"], "filters": {"object_query": ["", " Зея "], '
                           '"source_groups": "Rchb"}, "group_by": "month", "date_from": "2025-02-01"}\n```'),
-        ("Покажи кассовые выплаты по Авиабазе по годам", '{"filters": {"organization_query": "Авиабаз"}}'),
+        ("Покажи кассовые выплаты по Родникам по годам", '{"filters": {"organization_query": "Родник"}}'),
         ("данные", "нет ответа"),
         ("бюджет Зеи", '{"metrics": null, "filters": {}, "group_by": ["year", "bad"]}'),
     ]
     questions = spark.createDataFrame([(i, t, r) for i, (t, r) in enumerate(replies)], "query_id int, text_query string, reply string")
     questions = questions.withColumn("explicit", F.lit(None).cast(R.REQUEST_TYPE))
     options = spark.createDataFrame(
-        [("objects", "Авиабаза"), ("organizations", "Администрация"), ("budgets", "Бюджет города Зеи"),
+        [("objects", "Родник"), ("organizations", "Администрация"), ("budgets", "Бюджет города Зеи"),
          ("metrics", "limits"), ("metrics", "cash_payments")], "field string, value string")
     metrics = F.array(F.lit("limits"), F.lit("cash_payments"))
     patched = R.parse_replies(questions, metrics, F.array(F.lit("rchb"), F.lit("gz")))
@@ -94,20 +94,29 @@ def test_replies_are_coerced_and_completed(spark):
     assert rows[0]["metrics"] == ["limits"] and rows[0]["filters"]["object_query"] == "Зея"
     assert rows[0]["filters"]["source_groups"] == ["rchb"] and rows[0]["group_by"] is None
     assert rows[0]["date_from"] == date(2025, 2, 1)
-    assert rows[1]["filters"]["organization_query"] is None and rows[1]["filters"]["object_query"] == "Авиабаз"
+    assert rows[1]["filters"]["organization_query"] is None and rows[1]["filters"]["object_query"] == "Родник"
     assert rows[1]["metrics"] == ["cash_payments"] and rows[1]["group_by"] == ["year"]
     assert rows[2] is None
     assert rows[3]["group_by"] == ["year"] and rows[3]["filters"]["object_query"] == "бюджет"
 
 
 def test_containment_agrees_with_brute_force(spark):
-    options = ["бюджет города зеи", "авиабаза", "abc", "xx yy zz", "бюджет города тынды", "ааааа"]
-    needles = ["бюджет", "города з", "а", "yy z", "abcd", "тынды", "зее", "авиабаза", "", "ааааааа", "бюдж", "города тынд"]
+    options = ["бюджет города зеи", "родник", "abc", "xx yy zz", "бюджет города тынды", "ааааа"]
+    needles = ["бюджет", "города з", "а", "yy z", "abcd", "тынды", "зее", "родник", "", "ааааааа", "бюдж", "города тынд"]
     found = contained(
         spark.createDataFrame([(n,) for n in needles * 2], "needle string"),
-        spark.createDataFrame([(o,) for o in options], "option string"))
-    assert sorted(r["needle"] for r in found.collect()) == sorted(
-        n for n in needles if n and any(n in o for o in options))
+        spark.createDataFrame([(o, "ab"[i % 2]) for i, o in enumerate(options)], "option string, kind string"))
+    assert {r["needle"]: r["kinds"] for r in found.collect()} == {
+        n: sorted({"ab"[i % 2] for i, o in enumerate(options) if n in o}) for n in needles if n and any(n in o for o in options)}
+
+
+def test_containment_where_most_options_share_every_head(spark):
+    options = spark.range(3000).selectExpr(
+        "if(id % 10 = 0, concat('другое ', id), concat('учреждение города №', id)) as option", "'k' as kind")
+    needles = spark.createDataFrame(
+        [("учреждение",), ("№17",), ("города №299",), ("города №5000",), ("другое 10",), ("нет",)], "needle string")
+    found = {r["needle"] for r in contained(needles, options).collect()}
+    assert found == {"учреждение", "№17", "города №299", "другое 10"}
 
 
 def test_flags(spark):

@@ -7,7 +7,7 @@ from fiscalspark.sources import sinks
 
 SUBJECTS = [
     ("object_query", "Благовещенску", "Благовещенск"), ("object_query", "Тынде", "Тында"),
-    ("organization_query", 'ГАУ "Авиабаза"', 'ГАУ "Авиабаза"'), ("budget_query", "бюджету г. Тынды", "Бюджет г. Тынды"),
+    ("organization_query", 'ГАУ "Родник"', 'ГАУ "Родник"'), ("budget_query", "бюджету г. Тынды", "Бюджет г. Тынды"),
     ("source_groups", "gz", "gz"), ("source_groups", "rchb", "rchb"), ("kfsr_code", "0502", "0502"),
     ("funding_source", "Региональные средства", "Региональные средства"),
 ]
