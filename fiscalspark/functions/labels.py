@@ -21,9 +21,5 @@ def source_label(key: Column) -> Column:
     return _lookup(SOURCE_GROUP_LABELS, key)
 
 
-def group_label(key: Column) -> Column:
-    return _lookup(GROUP_BY_LABELS, key)
-
-
 def dimension_title(name: str) -> str:
     return GROUP_BY_LABELS.get(name, name.replace("_", " ").title())

@@ -58,10 +58,6 @@ def to_money(col: Column) -> Column:
     return col.try_cast("decimal(20,2)")
 
 
-def zero_if_null(col: Column) -> Column:
-    return F.coalesce(col, F.lit(0)).cast("decimal(20,2)")
-
-
 def has_amount(col: Column) -> Column:
     return col.isNotNull() & (col != 0)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fiscalspark.functions.labels import dimension_title, group_label, metric_label, source_label
+from fiscalspark.functions.labels import dimension_title, metric_label, source_label
 from fiscalspark.functions.periods import period_label, range_label
 from fiscalspark.operators.aggregates import ratio_percent, total
 from fiscalspark.plans.request import Request, grouping_columns
@@ -56,18 +56,18 @@ def _finish(pivoted: DataFrame) -> DataFrame:
 def object_summary(rows: DataFrame, request: Request) -> DataFrame:
     """Seven metric columns per (object, period); the metric list is fixed, so no distinct job runs."""
     pivoted = labelled(rows, request).groupBy("object", "period").pivot("metric", list(REPORT_METRICS))
-    return _finish(pivoted.agg(F.sum("value")))
+    return _finish(pivoted.agg(F.sum("value"))).orderBy("object", "period")
 
 
 def object_totals(rows: DataFrame, request: Request) -> DataFrame:
     pivoted = labelled(rows, request).groupBy("object").pivot("metric", list(REPORT_METRICS))
-    return _finish(pivoted.agg(F.sum("value")).withColumn("period", F.lit(TOTAL_PERIOD)))
+    return _finish(pivoted.agg(F.sum("value")).withColumn("period", F.lit(TOTAL_PERIOD))).orderBy("object")
 
 
 def dynamics(rows: DataFrame, request: Request) -> DataFrame:
     return labelled(rows, request).select(
         "object", "period", metric_label(F.col("metric")).alias("metric_label"), "value"
-    )
+    ).orderBy("object", "period", "metric_label")
 
 
 def detail(rows: DataFrame, request: Request) -> DataFrame:
@@ -87,64 +87,56 @@ def combine_details(details: list[DataFrame]) -> DataFrame:
     return combined.select(*[c for c in combined.columns if c not in trailing], *trailing)
 
 
-def parameters(request: Request, summary: DataFrame, rows_count: DataFrame, execution: DataFrame,
-               sources: DataFrame) -> DataFrame:
-    """Name/value pairs that describe a report; ``position`` keeps the sheet's order."""
+def parameters(request: Request, facts: DataFrame) -> DataFrame:
+    """Name/value pairs that describe a report on the matching facts; ``position`` keeps the sheet's order.
+
+    The facts are read once: rows of the report, then one row per metric, then one row, whose lists are as long as the
+    vocabularies of metrics and sources.
+    """
+    keys = [F.col(source).alias(name) for name, source in grouping_columns(request.group_by).items()]
+    rows = facts.groupBy(*keys, "metric").agg(total().alias("value"), F.collect_set("source_group").alias("sources"))
+    metrics = rows.groupBy("metric").agg(
+        total().alias("value"), F.count(F.lit(1)).alias("n"),
+        F.array_distinct(F.flatten(F.collect_set("sources"))).alias("sources"))
+    one = metrics.agg(
+        F.array_sort(F.collect_list(F.struct("metric", "value", "sources"))).alias("found"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("rows"))
+
+    def listed(values: Column, vocabulary, label) -> Column:
+        known = F.filter(F.array_sort(F.array_distinct(values)), lambda v: v.isin(*vocabulary))
+        return F.array_join(F.transform(known, label), ", ")
+
+    def of(metric: str) -> Column:
+        return F.get(F.filter("found", lambda m: m["metric"] == metric), F.lit(0))["value"]
+
     filters = request.filters
-    fixed_head = [
-        ("Отчёт", "Бюджетная аналитика"),
-        ("Текстовый запрос", request.text_query or ""),
-        ("Пакет данных", request.batch_id),
-        ("Период отчёта", range_label(request.date_from, request.date_to)),
-    ]
-    fixed_tail = [
-        ("Группировка интерфейса", ", ".join(GROUP_BY_LABELS[g] for g in request.group_by)),
-        ("Объект", filters.object_query or ""),
-        ("Организация", filters.organization_query or ""),
-        ("Бюджет", filters.budget_query or ""),
-        ("Текстовый поиск", filters.text_search or ""),
-        ("КФСР", filters.kfsr_code or ""),
-        ("КЦСР", filters.kcsr_code or ""),
-        ("КВР", filters.kvr_code or ""),
-        ("Источник средств", filters.funding_source or ""),
+    lines = [
+        ("Отчёт", F.lit("Бюджетная аналитика")),
+        ("Текстовый запрос", F.lit(request.text_query or "")),
+        ("Пакет данных", F.lit(request.batch_id)),
+        ("Период отчёта", F.lit(range_label(request.date_from, request.date_to))),
+        ("Источники", listed(F.flatten("found.sources"), SOURCE_GROUP_LABELS, source_label)),
+        ("Показатели", listed(F.col("found.metric"), METRIC_LABELS, metric_label)),
+        ("Группировка интерфейса", F.lit(", ".join(GROUP_BY_LABELS[g] for g in request.group_by))),
+        ("Объект", F.lit(filters.object_query or "")),
+        ("Организация", F.lit(filters.organization_query or "")),
+        ("Бюджет", F.lit(filters.budget_query or "")),
+        ("Текстовый поиск", F.lit(filters.text_search or "")),
+        ("КФСР", F.lit(filters.kfsr_code or "")),
+        ("КЦСР", F.lit(filters.kcsr_code or "")),
+        ("КВР", F.lit(filters.kvr_code or "")),
+        ("Источник средств", F.lit(filters.funding_source or "")),
+        ("Строк в результате", F.col("rows")),
+        ("Строк в выгрузке", F.col("rows")),
+        (PERCENT_TITLE, ratio_percent(of("cash_payments"), of("limits")).cast("string")),
     ]
-    spark = summary.sparkSession
-
-    def constants(start: int, pairs) -> DataFrame:
-        data = [(start + i, name, value) for i, (name, value) in enumerate(pairs)]
-        return spark.createDataFrame(data, "position int, name string, value string")
-
-    def joined(df: DataFrame, position: int, name: str, key: str, label, vocabulary) -> DataFrame:
-        # At most one entry per vocabulary word, so the list stays short whatever the data.
-        known = F.array_join(F.transform(F.array_sort(F.collect_set(key)), label), ", ")
-        return df.where(F.col(key).isin(list(vocabulary))).agg(
-            F.lit(position).alias("position"), F.lit(name).alias("name"), known.alias("value")
-        )
-
-    counted = rows_count.select(
-        F.explode(F.array(
-            F.struct(F.lit(15).alias("position"), F.lit("Строк в результате").alias("name")),
-            F.struct(F.lit(16).alias("position"), F.lit("Строк в выгрузке").alias("name")),
-        )).alias("p"), F.col("rows_count").cast("string").alias("value"),
-    ).select("p.position", "p.name", "value")
-    percent = execution.select(
-        F.lit(17).alias("position"), F.lit(PERCENT_TITLE).alias("name"),
-        F.col("execution_percent").cast("string").alias("value"),
-    )
-    totals = summary.select(
-        F.lit(18).alias("position"), metric_label(F.col("metric")).alias("name"),
-        F.col("value").cast("string").alias("value"),
-    )
-    parts = [
-        constants(0, fixed_head),
-        joined(sources, 4, "Источники", "value", source_label, SOURCE_GROUP_LABELS),
-        joined(summary, 5, "Показатели", "metric", metric_label, METRIC_LABELS),
-        constants(6, fixed_tail), counted, percent, totals,
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.orderBy("position", "name")
+
+    def line(position: int, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(position).alias("position"), name.alias("name"), value.alias("value"))
+
+    head = F.array(*[line(i, F.lit(name), value) for i, (name, value) in enumerate(lines)])
+    sums = F.transform("found", lambda m: line(len(lines), metric_label(m["metric"]), m["value"].cast("string")))
+    return one.select(F.explode(F.concat(head, sums)).alias("line")).select("line.*").orderBy("position", "name")
 
 
 def titled(sheet: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ SQL["store_round_trip"] = (
     "AS con_number, CAST(o_orderdate AS DATE) AS con_date, CAST(o_totalprice AS DECIMAL(20,2)) AS con_amount, "
     "'К-' || o_orderkey AS raw_number FROM orders")
 SQL["jsonl_round_trip"] = SQL["training_examples"]
+SQL["report_files"] = SQL["report_object_summary"]
 SQL["file_registry"] = (
     "SELECT o_orderpriority AS kind, strlen(body) AS size_bytes, sha256(body) AS sha256, 'registered' AS status FROM ("
     "SELECT o_orderpriority, string_agg(o_orderkey || ';' || o_custkey || chr(10), '' ORDER BY o_orderkey) AS body "

@@ -31,17 +31,18 @@ class Report:
         keys = [*grouping_columns(self.request.group_by), "metric"]
         return A.page(self.rows, keys, self.request.limit, self.request.offset)
 
-    def sheets(self) -> dict[str, DataFrame]:
-        """The five report sheets, over all rows rather than one page."""
+    def sheets(self, titles: bool = False) -> dict[str, DataFrame]:
+        """The five report sheets, ordered, over all rows rather than one page; with ``titles`` under readers' titles."""
         if self.rows is None:
             raise ValueError("a report needs include_rows")
-        return dict(zip(R.SHEETS, (
-            R.parameters(self.request, self.summary, self.rows_count, self.execution_percent, self.sources),
+        shown = (
+            R.parameters(self.request, self.base),
             R.object_summary(self.rows, self.request),
             R.object_totals(self.rows, self.request),
             R.dynamics(self.rows, self.request),
             R.detail(self.rows, self.request),
-        )))
+        )
+        return dict(zip(R.SHEETS, map(R.titled, shown) if titles else shown))
 
     def release(self) -> None:
         self.base.unpersist()

@@ -242,8 +242,7 @@ def report_detail(spark, sf_dir):
 
 @query("report_parameters")
 def report_parameters(spark, sf_dir):
-    report = _report(spark, sf_dir)
-    return R.parameters(_REPORT, report.summary, report.rows_count, report.execution_percent, report.sources)
+    return R.parameters(_REPORT, _report(spark, sf_dir).base)
 
 
 @query("metric_labels")

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fiscalspark.operators import aggregates as A, records as N
+from fiscalspark.operators import aggregates as A, records as N, report as R
 from fiscalspark.operators.filters import matching
 from fiscalspark.plans import training as G
 from fiscalspark.plans.ingest import ingest_folder
 from fiscalspark.plans.request import Request
-from fiscalspark.queries import query
+from fiscalspark.queries import _report, query
 from fiscalspark.queries_text import _examples
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import mart, messy, sinks, tree
@@ -71,6 +71,17 @@ def jsonl_round_trip(spark, sf_dir):
         target["date_from"].alias("date_from"), target["date_to"].alias("date_to"), subject.alias("subject"))
 
 
+@query("report_files")
+def report_files(spark, sf_dir):
+    """The five sheets written as CSV under readers' titles; the pivoted one is read back."""
+    target, report = _folder(spark, "report"), _report(spark, sf_dir)
+    sinks.write_report(report.sheets(titles=True), target, "csv")
+    sheet, plain = R.SHEETS[1], R.object_summary(report.rows, report.request)
+    back = spark.read.option("header", "true").csv(f"{target}/{sheet}").select(
+        *[f"`{title}`" for title in R.titled(plain).columns]).toDF(*plain.columns)
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in plain.schema])
+
+
 @query("file_registry")
 def file_registry(spark, sf_dir):
     """Files written from orders, one per priority, listed with size and streamed digest."""

@@ -106,26 +106,7 @@ GROUP_BY_LABELS = {
     "funding_source": "Источник средств",
 }
 
-FILTER_LABELS = {
-    "source_groups": "Источники данных",
-    "object_query": "Поиск по объекту",
-    "budget_query": "Поиск по бюджету",
-    "organization_query": "Поиск по организации",
-    "text_search": "Текстовый поиск",
-    "document_id": "ID документа",
-    "document_number": "Номер документа",
-    "kfsr_code": "КФСР",
-    "kcsr_code": "КЦСР",
-    "kvr_code": "КВР",
-    "kvsr_code": "КВСР",
-    "kesr_code": "КОСГУ/КЭСР",
-    "kosgu_code": "КОСГУ",
-    "purpose_code": "Код цели",
-    "funding_source": "Источник средств",
-}
-
 METRICS = tuple(METRIC_LABELS)
-SOURCE_GROUPS = tuple(SOURCE_GROUP_LABELS)
 
 # Filters compared with ``=``; every other scalar filter is a substring search.
 EXACT_FILTERS = (
@@ -134,7 +115,6 @@ EXACT_FILTERS = (
 )
 SUBSTRING_FILTERS = ("object_query", "budget_query", "organization_query")
 SUBJECT_FILTERS = (*SUBSTRING_FILTERS, "text_search", *EXACT_FILTERS)
-FILTER_FIELDS = ("source_groups", *SUBJECT_FILTERS)
 
 # Fact columns whose distinct values can be listed, and the catalogue name of each.
 VALUE_FIELDS = {
