@@ -56,10 +56,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
-STAGES = [
+STAGES = [(name, scratch.with_package(stage)) for name, stage in (
     ("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_contaminated), ("byte-level BPE", encode),
-]
+)]
 #: The toxicity model is trained and the encoding is a library's: no SQL; tested against a plain version instead.
 ORACLE_SQL = None
 

@@ -7,8 +7,12 @@ execution can split when one key is hot. A table is deleted when the JVM ends, o
 
 from __future__ import annotations
 
+import functools
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +51,25 @@ def drop(spark: SparkSession, *paths: str) -> None:
         files.delete(place, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if not getattr(context, "_fiscalspark_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="fiscalspark-package-")) / package.name
+        context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        context._fiscalspark_shipped = True
+
+
+def with_package(function: Callable) -> Callable:
+    """A function of (session, ...) that ships the package first."""
+    @functools.wraps(function)
+    def run(spark: SparkSession, *args):
+        ship_package(spark)
+        return function(spark, *args)
+    return run
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write the frame and read it back."""
     return keep_at(df, name)[0]
