@@ -64,6 +64,11 @@ def _conditions(request: Request, normalize_codes: bool) -> list[Column]:
     return found
 
 
+def conditions(request: Request, normalize_codes: bool = False) -> Column:
+    """What a fact of the request satisfies, as one condition."""
+    return reduce(and_, _conditions(request, normalize_codes))
+
+
 def matching(facts: DataFrame, request: Request, normalize_codes: bool = False) -> DataFrame:
     """Facts a request is about. Null columns never match a condition put on them."""
-    return facts.where(reduce(and_, _conditions(request, normalize_codes)))
+    return facts.where(conditions(request, normalize_codes))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fiscalspark.oracle import MONEY, SQL, on_facts
+from fiscalspark.oracle import MONEY, SQL, on_facts, percent
 from fiscalspark.plans import training as G
 from fiscalspark.plans.resolve import UNAVAILABLE
 from fiscalspark.queries_text import ENDINGS, SUBJECT_WORDS
@@ -171,15 +171,39 @@ SQL["coerce_flags"] = (
 SQL["canonical_lists"] = (
     f"SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'gz,rchb' ELSE 'gz' END AS source_groups, {N} FROM orders GROUP BY 1")
 SQL["reply_is_json"] = f"SELECT o_orderkey % 4 <> 3 AS valid, {N} FROM orders GROUP BY 1"
+
+
+def _answer(tag: str, where: str, dims: tuple[str, ...] = ("year", "month")) -> str:
+    """All parts of the answer to one request over the facts."""
+    base, columns = f"(SELECT * FROM facts WHERE {where})", ", ".join(dims)
+    null = "CAST(NULL AS {})".format
+    rows = ", ".join(d if d in dims else f"{null('INTEGER')} AS {d}" for d in ("year", "month"))
+    return " UNION ALL ".join((
+        f"SELECT {tag}, 'summary' AS part, {null('INTEGER')} AS year, {null('INTEGER')} AS month, {null('VARCHAR')} AS period, "
+        f"{null('VARCHAR')} AS source_group, metric, {MONEY} AS value FROM {base} GROUP BY metric",
+        f"SELECT {tag}, 'rows', {rows}, NULL, NULL, metric, {MONEY} FROM {base} GROUP BY metric, {columns}",
+        f"SELECT {tag}, 'timeseries', NULL, NULL, printf('%04d-%02d', year, month), NULL, metric, {MONEY} FROM {base} "
+        "WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY metric, year, month",
+        f"SELECT DISTINCT {tag}, 'source', NULL::INTEGER, NULL::INTEGER, NULL, source_group, NULL, NULL::DECIMAL(20,2) FROM {base}",
+        f"SELECT {tag}, 'execution', NULL, NULL, NULL, NULL, NULL, {percent('c', 'l')} FROM (SELECT "
+        "SUM(CASE WHEN metric = 'cash_payments' THEN value END) AS c, SUM(CASE WHEN metric = 'limits' THEN value END) AS l, "
+        f"COUNT(*) AS n FROM {base}) WHERE n > 0"))
+
+
 SQL["prepared_examples"] = on_facts(" UNION ALL ".join(
-    f"SELECT '{prompt}' AS prompt, '{title}' AS title, year, month, metric, {MONEY} AS value FROM facts WHERE {condition} "
-    "GROUP BY year, month, metric"
+    _answer(f"'{prompt}' AS prompt, '{title}' AS title", condition)
     for prompt, title, condition in (
         ("Покажи лимиты по Благовещенску по месяцам", "Лимиты по Благовещенску",
          "metric = 'limits' AND (object_name ILIKE '%NATION_1%' OR budget_name ILIKE '%NATION_1%')"),
         ("Покажи кассовые выплаты по 0502", "Кассовые выплаты по 0502", "metric = 'cash_payments' AND kfsr_code = 'Brand#7'"),
         ("Покажи сумму контрактов по источнику gz", "Контракты по gz", "metric = 'contract_amount' AND source_group = 'gz'"),
     )))
+SQL["answer_questions"] = on_facts(" UNION ALL ".join(
+    _answer(f"CAST({k} AS BIGINT) AS query_id",
+            f"metric = '{('limits', 'cash_payments', 'contract_amount')[k % 3]}' AND year = 1997 AND "
+            f"(object_name ILIKE '%NATION_{k}%' OR budget_name ILIKE '%NATION_{k}%')",
+            ("year",) if k % 2 == 0 else ("year", "month"))
+    for k in range(6)))
 
 # --- Training sets -----------------------------------------------------------------------------
 

@@ -10,6 +10,7 @@ from fiscalspark.functions import language as L
 from fiscalspark.operators import distinct as D
 from fiscalspark.plans import examples as X, resolve as R, training as G
 from fiscalspark.queries import _facts, query
+from fiscalspark.schema import TEXT_SEARCH_COLUMNS
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import mart
 from fiscalspark.sources.mart import table
@@ -196,12 +197,36 @@ def canonical_lists(spark, sf_dir):
     return orders.groupBy(spelled.alias("source_groups")).agg(_count())
 
 
+_ANSWER_COLUMNS = (
+    "year", "month", "object_name", "budget_name", "organization_name", "kfsr_code", "source_group", "date", "raw_data",
+    *TEXT_SEARCH_COLUMNS)
+
+
 @query("prepared_examples")
 def prepared_examples(spark, sf_dir):
     facts = _facts(spark, sf_dir, "year", "month", "object_name", "budget_name", "kfsr_code", "source_group")
     return X.prepared(facts, mart.BATCH, X.for_mart())
 
 
+@query("answer_questions")
+def answer_questions(spark, sf_dir):
+    """Plain questions about nations of the tables, resolved and answered over all facts."""
+    nations = table(spark, sf_dir, "nation").where("n_nationkey < 6")
+    text = F.concat(F.lit("Покажи "), _pick(("лимиты", "кассовые выплаты", "договоры"), F.col("n_nationkey")), F.lit(" за 1997 год"))
+    empty = F.lit(None).cast(R.REQUEST_TYPE)
+    filters = F.struct(*[F.when(F.lit(f == "object_query"), F.col("n_name")).cast(R.FILTERS_TYPE[f].dataType).alias(f)
+                         if f != "source_groups" else F.lit(None).cast(R.FILTERS_TYPE[f].dataType).alias(f)
+                         for f in R.FILTERS_TYPE.fieldNames()])
+    patch = F.struct(
+        F.lit(None).cast("date").alias("date_from"), F.lit(None).cast("date").alias("date_to"),
+        F.lit(None).cast("array<string>").alias("metrics"), filters.alias("filters"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("year"))).alias("group_by")).cast(R.REQUEST_TYPE)
+    asked = nations.select(F.col("n_nationkey").cast("bigint").alias("query_id"), text.alias("text_query"),
+                           empty.alias("explicit"), patch.alias("patch"))
+    facts = _facts(spark, sf_dir, *_ANSWER_COLUMNS)
+    return X.answer(R.resolve(asked), facts, mart.BATCH).select("query_id", "part", "year", "month", "period", "source_group", "metric", "value")
+
+
 # --- Training sets -----------------------------------------------------------------------------
 
 
