@@ -20,8 +20,8 @@ SQL["parse_amount"] = (
     "CASE WHEN l_orderkey % 11 = 3 THEN -p WHEN l_orderkey % 11 > 3 THEN p END AS v FROM (SELECT *, "
     "CAST(l_extendedprice AS DECIMAL(20,2)) AS p FROM lineitem)) GROUP BY 1")
 SQL["parse_amount_half_even"] = (
-    "SELECT o_orderkey % 100 AS bucket, CAST(SUM(o_orderkey + CAST(0.12 AS DECIMAL(20,2))) AS DECIMAL(20,2)) AS value "
-    "FROM orders GROUP BY 1")
+    "SELECT o_orderkey % 100 AS bucket, CAST(SUM((o_orderkey + [0.00, 0.02, 0.12, 0.14, 1.00][o_orderkey % 5 + 1]::DECIMAL(20,2)) "
+    "* CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) AS DECIMAL(20,2)) AS value FROM orders GROUP BY 1")
 SQL["parse_date"] = (
     f"SELECT CASE WHEN l_orderkey % 97 > 1 THEN CAST(l_shipdate AS DATE) END AS day, {N} FROM lineitem GROUP BY 1")
 _DATED = "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END"

@@ -66,7 +66,10 @@ def parse_amount(spark, sf_dir):
 
 @query("parse_amount_half_even")
 def parse_amount_half_even(spark, sf_dir):
-    raw = F.concat(F.col("o_orderkey"), F.lit(",12"), F.lit("5"))
+    """Halves of a cent go to the even cent, on both sides of zero."""
+    key = F.col("o_orderkey")
+    halves = F.get(F.array(*[F.lit(h) for h in ("005", "015", "125", "135", "995")]), (key % 5).cast("int"))
+    raw = F.concat(F.when(key % 3 == 0, "-").otherwise(""), key, F.lit(","), halves)
     parsed = table(spark, sf_dir, "orders").select("o_orderkey", X.parse_amount(raw).alias("value"))
     return parsed.groupBy((F.col("o_orderkey") % 100).alias("bucket")).agg(total().alias("value"))
 
