@@ -42,14 +42,16 @@ NEVER_TEXT = RAW | frozenset(
     "applet map datalist".split())
 NEVER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class and id names that mark what is not the article, and parts that outweigh them.
+#: Parts of class and id names that mark what is not the article.
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner "
     "banners sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar cookie "
     "cookies consent gdpr notice notices alert comment comments commentlist disqus respond reply replies discussion share "
     "sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay "
     "widget widgets pagination pager skip toolbar paywall copyright".split())
-LIKELY = frozenset("article content main post entry story body text page wrapper wrap layout container has with no without".split())
+#: Parts that make a name speak of a layout around something, and beginnings of names for the head of an article.
+LAYOUT = frozenset("with has no without layout".split())
+TITLED = frozenset("article post entry story content".split())
 KEPT_TAGS = frozenset("html body main article".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption h1 h2 h3 h4 h5 h6 div section article main".split())
 #: Points for the element itself, and the share of a paragraph's points that each ancestor gets.
@@ -61,6 +63,14 @@ SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 SIBLING_CHARS, SIBLING_LINKS, LINK_LIST = 80, 0.25, 0.5
 
 
+def unlikely_name(name: str) -> bool:
+    """Does a class or id name something beside the article, such as ``page-footer``, and not its title or a layout?"""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if LAYOUT & set(parts) or parts[-1:] == ["header"] and TITLED & set(parts):
+        return False
+    return bool(UNLIKELY & set(parts))
+
+
 class Page:
     """Elements by number in page order (a parent before its children) and the sequence of texts and block borders."""
 
@@ -125,8 +135,6 @@ class Page:
 
     def _unlikely(self, node: int) -> bool:
         tag, raw = self.tag[node], self.attributes[node]
-        if tag in NEVER_TEXT:
-            return True
         if not raw or tag in KEPT_TAGS:
             return False
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(raw)}
@@ -134,18 +142,19 @@ class Page:
             return True
         if "display:none" in found.get("style", "").replace(" ", "").lower():
             return True
-        parts = {p.lower() for p in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        return bool(parts & UNLIKELY) and not parts & LIKELY
+        return any(map(unlikely_name, f"{found.get('class', '')} {found.get('id', '')}".split()))
 
     def main_text(self) -> str:
         tag, parent = self.tag, self.parent
         n = len(tag)
-        dropped, linked, inside = [False] * n, [False] * n, [False] * n
+        dropped, linked, inside, around = [False] * n, [False] * n, [False] * n, [False] * n
+        for k in range(n - 1, 0, -1):  # what holds an article is never left out for its name
+            around[parent[k]] |= around[k] or tag[k] in ("article", "main")
         for k in range(1, n):
             up = parent[k]
             inside[k] = inside[up] or tag[up] in ("article", "main")
             header = tag[k] == "header" and not inside[k]
-            dropped[k] = dropped[up] or header or self._unlikely(k)
+            dropped[k] = dropped[up] or tag[k] in NEVER_TEXT or not around[k] and (header or self._unlikely(k))
             linked[k] = linked[up] or tag[k] == "a"
         length, links, commas, own = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.items:

@@ -46,6 +46,9 @@ def test_archives_give_back_every_record(spark):
      "One two three, four five, six seven & eight. abc"),
     (f"<div class='content with-sidebar'><section>{BODY}</section><section>{BODY}</section></div><div class=cookie-notice>{BODY}</div>",
      "One two three, four five, six seven & eight. One two three, four five, six seven & eight."),
+    (f"<div class='page sidebar-open'><article><div class=post-header><h1>T</h1></div>{BODY}<div class=article-ad>{BODY}</div>"
+     f"</article><section class='post-comments'>{BODY * 3}</section><div id=pageFooter>{BODY}</div></div>",
+     "T One two three, four five, six seven & eight."),
     ("<article><p><b>bold<br><p>next\n\n  one</article>", "bold next one"),
     ("<ul><li>a, b<li>c</ul>", "a, b c"), ("<div>" * 3000 + "deep, text" + "</div>" * 3000, "deep, text"),
     ("<article><p>x < y &lt;z&gt; a&nbsp;b</p></article>", "x < y <z> a b"),
