@@ -79,14 +79,15 @@ def format_pairs(pairs: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFr
 def pair_by_opening(convs: DataFrame) -> DataFrame:
     """``chosen_id, rejected_id, chosen_turns, rejected_turns``: of the conversations that open with the same turn the one
     with the smallest identifier is chosen over each other one, so a group gives as many pairs as it has members.
-    Conversations without turns or identifier are in no pair. The chosen ones are a written table, so that an opening
-    with very many conversations can be split in the join.
+    Conversations without turns or identifier are in no pair. Openings are counted by digest, partial counts first; the
+    chosen conversations are a written table, so that an opening with very many conversations can be split in the join.
     """
     opening = F.sha2(F.to_json(F.element_at("turns", 1)), 256)
     keyed = convs.where("conv_id is not null and size(turns) > 0").withColumn("opening", opening)
-    chosen = keyed.groupBy("opening").agg(F.min(F.struct("conv_id", "turns")).alias("first"), F.count(F.lit(1)).alias("n"))
-    chosen = scratch.keep(chosen.where("n > 1").select(
-        "opening", F.col("first.conv_id").alias("chosen_id"), F.col("first.turns").alias("chosen_turns")), "openings")
+    firsts = scratch.keep(keyed.groupBy("opening").agg(
+        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id"), "openings")
+    chosen = scratch.keep(keyed.join(firsts, "conv_id").select(
+        "opening", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns")), "chosen")
     return keyed.join(chosen, "opening").where("conv_id <> chosen_id").select(
         "chosen_id", F.col("conv_id").alias("rejected_id"), "chosen_turns", F.col("turns").alias("rejected_turns"))
 

@@ -126,9 +126,9 @@ FROM f
 @query
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of conversations with the same opening, and each conversation against itself with an echo for an answer."""
-    from fiscalspark.llm import preference as P
+    from fiscalspark.llm import preference as P, scratch
 
-    convs = P.conversations(table(spark, sf_dir, "conversations"))
+    convs = scratch.keep(P.conversations(table(spark, sf_dir, "conversations")), "conversations")
     pairs = P.pair_by_opening(convs).unionByName(P.pair_with_echo(convs))
 
     def shown(spans: str):
