@@ -19,7 +19,7 @@ from fiscalspark.llm import words as W
 from fiscalspark.llm.samples import about, held_out, visible_labels
 
 #: Bounds of the training sample, in documents, and of the features that the model may keep.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 6_000, 12_000, 20_000
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4_000, 12_000, 20_000
 #: Lengths of the word beginnings that are features, each for its first, second and third occurrence in a text.
 PREFIX_BYTES = (4, 6)
 OCCURRENCES = 3
@@ -106,13 +106,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     names = names_p[keep]
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        value = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        if not len(names):
-            return owner[:0], owner[:0]
-        at = np.minimum(np.searchsorted(names, value), len(names) - 1)
-        real = names[at] == value
-        return owner[real], at[real]
+        """Row and column numbers of the kept features, row by row to keep the driver small."""
+        found = []
+        for row in rows if len(names) else []:
+            at = np.minimum(np.searchsorted(names, row), len(names) - 1)
+            found.append(at[names[at] == row].astype(np.int32))
+        owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+        return owner, np.concatenate(found) if found else owner
 
     owner_p, at_p = matrix(positive)
     owner_u, at_u = matrix(unlabelled)
