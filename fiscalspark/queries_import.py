@@ -13,7 +13,7 @@ from fiscalspark.plans.ingest import ingest_folder, materialize, normalize
 from fiscalspark.queries import query
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import messy, tree
-from fiscalspark.sources.mart import table
+from fiscalspark.sources.mart import dealt, table
 
 
 def _count() -> Column:
@@ -59,7 +59,7 @@ def parse_amount(spark, sf_dir):
     amount = messy.messy_amount(F.col("l_extendedprice"))
     raw = F.when(key % 11 == 0, F.lit("1.2.3")).when(key % 11 == 1, F.lit("12-34")).when(key % 11 == 2, F.lit("-."))
     raw = raw.when(key % 11 == 3, F.concat(F.lit("-"), amount, F.lit(" руб"))).otherwise(amount)
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", raw.alias("raw"))
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_returnflag", raw.alias("raw"))
     parsed = X.normalize_columns(lines, {"value": ("amount", "raw")})
     return parsed.groupBy("l_returnflag").agg(F.count("value").alias("parsed"), _count(), total().alias("value"))
 
@@ -79,7 +79,7 @@ def parse_date(spark, sf_dir):
     key = F.col("l_orderkey")
     raw = F.when(key % 97 == 0, F.lit("31.02.1998")).when(key % 97 == 1, F.lit("not a date")) \
         .otherwise(messy.messy_date(F.col("l_shipdate"), key))
-    return table(spark, sf_dir, "lineitem").groupBy(P.parse_date(raw).alias("day")).agg(_count())
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(P.parse_date(raw).alias("day")).agg(_count())
 
 
 @query("date_parts")
@@ -279,7 +279,7 @@ def ingest_files(spark, sf_dir):
     """Ledger exports written as real CSV files, then read back through the whole import."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fiscalspark/exports-{uuid.uuid4()}"
     cells = [c.alias(h) for h, c in zip(messy.RCHB_HEADERS, messy.rchb_cells())]
-    exports = table(spark, sf_dir, "lineitem").select(
+    exports = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.concat(F.lit("1. РЧБ "), F.col("l_returnflag")).alias("source"), *cells)
     exports.write.partitionBy("source").option("header", "true").option("sep", ";").csv(root)
     done = ingest_folder(spark, root, "tpch", hash_files=False)

@@ -13,7 +13,7 @@ from fiscalspark.queries import _facts, query
 from fiscalspark.schema import TEXT_SEARCH_COLUMNS
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import mart
-from fiscalspark.sources.mart import table
+from fiscalspark.sources.mart import dealt, table
 from fiscalspark.streaming import jobs
 
 
@@ -33,7 +33,7 @@ def _pick(words: tuple[str, ...], key: Column) -> Column:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per order: what is asked for, about which customer or nation, in which period."""
-    orders = table(spark, sf_dir, "orders").join(
+    orders = dealt(table(spark, sf_dir, "orders"), "o_orderkey").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     key = F.col("o_orderkey")
     nation = F.concat(F.lit("nation_"), F.col("c_nationkey"))
@@ -45,7 +45,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_terms")
 def text_terms(spark, sf_dir):
     """Search terms of whole documents, counted by document."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", L.search_terms(F.col("text")).alias("terms"))
+    terms = dealt(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", L.search_terms(F.col("text")).alias("terms"))
     return terms.select(
         "doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", " ")).alias("digest"))
 

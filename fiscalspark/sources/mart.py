@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all tasks by a key, whatever the size: for heavy work per row on files that cannot be split."""
+    return df.repartition(F.col(key))
+
+
 def money(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("decimal(20,2)")
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fiscalspark.sources.mart import LINE_METRICS, table
+from fiscalspark.sources.mart import LINE_METRICS, dealt, table
 from fiscalspark.sources.tree import source_group
 
 RCHB_HEADERS = (
@@ -71,7 +71,7 @@ def rchb_cells() -> list[Column]:
 
 
 def rchb(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     path = F.concat(F.lit("1. РЧБ/"), F.col("l_returnflag"), F.lit(".csv"))
     records = _records(lines, path, F.expr("l_orderkey * 10 + l_linenumber"), rchb_cells())
     return records, _files(records, RCHB_HEADERS)
@@ -111,7 +111,7 @@ def contract_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     ]
     path = F.lit("3. ГЗ/Бюджетные строки.csv")
     records = _records(
-        table(spark, sf_dir, "lineitem"), path, F.expr("l_orderkey * 10 + l_linenumber"), cells)
+        dealt(table(spark, sf_dir, "lineitem"), "l_orderkey"), path, F.expr("l_orderkey * 10 + l_linenumber"), cells)
     return records, _files(records, LINE_HEADERS)
 
 
