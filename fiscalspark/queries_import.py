@@ -134,9 +134,9 @@ def file_admission(spark, sf_dir):
 
 
 def _entries(source, spark, sf_dir) -> DataFrame:
-    """Entries for one output: nothing is kept, and columns that the output does not read are pruned."""
+    """Entries as an import keeps them: persisted lazily, so that no normaliser is computed once per metric."""
     records, profiles = source(spark, sf_dir)
-    return N.entries(records, N.place_columns(profiles))
+    return materialize(N.entries(records, N.place_columns(profiles)), "entries")
 
 
 def _facts(source, spark, sf_dir) -> DataFrame:
