@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalspark.llm import words as W
 
@@ -59,27 +59,36 @@ class WindowSet:
                     yield i, size, items
 
 
+def _spans(held: WindowSet, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[list, list, set]]]:
+    """Number of words of each text, and its merged hit spans in words (starts, ends) with the items that occur."""
+    counts = np.zeros(len(texts), np.int64)
+    spans: list[tuple[list, list, set]] = [([], [], set()) for _ in texts]
+    for begin, some in W.rounds(texts):
+        w = W.split(some, W.BY_ALNUM)
+        counts[begin:begin + len(some)] = np.diff(w.first)
+        for i, size, items in sorted(held.hits(w), key=lambda x: x[:2]):
+            k = int(np.searchsorted(w.first, i, side="right")) - 1
+            starts, ends, seen = spans[begin + k]
+            at = i - int(w.first[k])
+            if ends and at <= ends[-1]:
+                ends[-1] = max(ends[-1], at + size)
+            else:
+                starts.append(at)
+                ends.append(at + size)
+            seen |= items
+    return counts, spans
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.large_binary()).fill_null(b"").to_pylist()
+
+
 def _scanner(windows):
     """Rows ``id, n_words, starts, ends, items``: merged hit spans in words, and the items that occur."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = windows.value
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
-            counts = np.zeros(len(texts), np.int64)
-            spans: list[tuple[list, list, set]] = [([], [], set()) for _ in texts]
-            for begin, some in W.rounds(texts):
-                w = W.split(some, W.BY_ALNUM)
-                counts[begin:begin + len(some)] = np.diff(w.first)
-                for i, size, items in sorted(held.hits(w), key=lambda x: x[:2]):
-                    k = int(np.searchsorted(w.first, i, side="right")) - 1
-                    starts, ends, seen = spans[begin + k]
-                    at = i - int(w.first[k])
-                    if ends and at <= ends[-1]:
-                        ends[-1] = max(ends[-1], at + size)
-                    else:
-                        starts.append(at)
-                        ends.append(at + size)
-                    seen |= items
+            counts, spans = _spans(held, _bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(counts),
                 pa.array([s[0] for s in spans], pa.list_(pa.int64())), pa.array([s[1] for s in spans], pa.list_(pa.int64())),
@@ -88,6 +97,17 @@ def _scanner(windows):
     return scan
 
 
+def _clean(windows, place: int, least_share: int):
+    """The rows whose text, in the column of that place, is not contaminated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = windows.value
+        for batch in batches:
+            counts, spans = _spans(held, _bytes(batch.column(place)))
+            hit = np.array([sum(ends) - sum(starts) for starts, ends, _ in spans], np.int64)
+            yield batch.filter(pa.array((hit == 0) | (least_share * hit < counts)))
+    return run
+
+
 def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
     """The items in as few blocks as keep each below the bound of windows, dealt by the hash of their text."""
     windows = F.greatest(F.lit(1), F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))
@@ -111,58 +131,82 @@ def _merge(spans):
     return F.aggregate(spans, start, step)
 
 
+def _held(benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text", window: int = WINDOW,
+          windows_at_once: int = WINDOWS_AT_ONCE) -> list:
+    """The windows of each block of items, as broadcasts."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_column).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    return [context.broadcast(WindowSet([(r["item"], r["text"].encode()) for r in block.collect()], window))
+            for block in _blocks(items, windows_at_once)]
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(F.col(text), 256)
+
+
+def _found(docs: DataFrame, held: list, id_column: str, text_column: str) -> DataFrame:
+    """``id, digest, n_words, spans, items``; the digest of the text is null if one block holds the benchmark."""
+    one = len(held) == 1
+    rows = docs.select(F.struct(
+        F.col(id_column).alias("id"), (F.lit(None).cast("string") if one else _digest(text_column)).alias("digest")).alias("id"),
+        F.col(text_column).alias("text"))
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+    pairs = F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))
+    parts = [rows.mapInArrow(_scanner(block), kind).select("id", "n_words", pairs.alias("spans"), "items") for block in held]
+    found = parts[0]
+    if not one:
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        found = found.groupBy("id").agg(
+            F.max("n_words").alias("n_words"), _merge(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.select("id.id", "id.digest", "n_words", "spans", "items")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-              item_column: str = "item_id", item_text: str = "text", window: int = WINDOW,
-              windows_at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
+              **of_benchmark) -> DataFrame:
     """``<id>, n_words, spans array<struct<s,e>>, items array<string>`` for every row of ``docs``.
 
     ``spans`` are the hit words as half-open ranges of word numbers, merged; ``items`` the sorted identifiers of the
     items that occur. Null and empty texts have no words; an item without words is never found; an item without an
     identifier is found but not listed. Rows that repeat an identifier each give a row as long as the benchmark fits
     one block; otherwise rows are told apart by identifier and text. Other columns are not read. Without items every
-    document comes back without hits.
+    document comes back without hits. ``of_benchmark``: the columns, window and block size of `_held`.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    items = benchmark.select(F.col(item_column).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
-    parts = []
-    blocks = _blocks(items, windows_at_once)
-    for block in blocks:
-        found = [(r["item"], r["text"].encode()) for r in block.collect()]
-        held = spark.sparkContext.broadcast(WindowSet(found, window))
-        source = rows if len(blocks) == 1 else rows.select(
-            F.struct("id", F.xxhash64("text").alias("h")).alias("id"), "text")
-        kind = schema if len(blocks) == 1 else schema.replace(f"id {id_type}", f"id struct<id:{id_type},h:bigint>")
-        parts.append(source.mapInArrow(_scanner(held), kind))
-    pairs = F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e"))
-    if len(parts) == 1:
-        return parts[0].select(F.col("id").alias(id_column), "n_words", pairs.alias("spans"), "items")
-    all_parts = parts[0]
-    for part in parts[1:]:
-        all_parts = all_parts.unionByName(part)
-    merged = all_parts.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list(pairs))).alias("pairs"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select(F.col("id.id").alias(id_column), "n_words", _merge(F.col("pairs")).alias("spans"), "items")
+    found = _found(docs, _held(benchmark, **of_benchmark), id_column, text_column)
+    return found.select(F.col("id").alias(id_column), "n_words", "spans", "items")
+
+
+def _n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, x: total + x["e"] - x["s"])
+
+
+def _contaminated(least_share: int) -> Column:
+    return (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, least_share: int = 20, **columns) -> DataFrame:
     """Counts per document; contaminated if at least one in ``least_share`` of its words is hit."""
     hits = find_hits(docs, benchmark, **columns)
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, x: total + x["e"] - x["s"])
-    return hits.withColumn("n_hit", n_hit).select(
+    return hits.withColumn("n_hit", _n_hit()).select(
         hits.columns[0], "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated(least_share).alias("contaminated"))
+
 
+def without_documents(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                      least_share: int = 20, **of_benchmark) -> DataFrame:
+    """The rows that are not contaminated, with all their columns; each is judged by its own text.
 
-def without_documents(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **columns) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Rows are matched by identifier."""
-    bad = report(docs, benchmark, id_column=id_column, **columns).where("contaminated")
-    bad = bad.select(F.col(id_column).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_column].eqNullSafe(F.col("_bad")), "left_anti")
+    While the benchmark fits one block, rows are dropped in the pass that scans them. Otherwise they are matched with the
+    contaminated ones by identifier and digest of the text.
+    """
+    held = _held(benchmark, **of_benchmark)
+    if len(held) == 1:
+        return docs.mapInArrow(_clean(held[0], docs.columns.index(text_column), least_share), docs.schema)
+    bad = _found(docs, held, id_column, text_column).withColumn("n_hit", _n_hit()).where(_contaminated(least_share))
+    bad = bad.select(F.col("id").alias("_bad"), F.col("digest").alias("_bad_text")).distinct()
+    same = docs[id_column].eqNullSafe(bad["_bad"]) & (_digest(text_column) == bad["_bad_text"])
+    return docs.join(bad, same, "left_anti")
 
 
 def _cutter(table: bytes):

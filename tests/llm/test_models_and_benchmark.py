@@ -146,6 +146,26 @@ def test_contamination_matches_a_plain_scan(spark):
     assert clean == {e[0] for e in expected if not e[4]}
 
 
+PASSAGE = " ".join(f"b{i}" for i in range(14))
+REPEATED = [(None, f"{PASSAGE} end"), (None, "a clean text"), (None, "another clean one"), (None, None), (7, "seven is clean"),
+            (7, f"begin {PASSAGE}"), (8, "the same"), (8, "the same"), (9, f"x {PASSAGE} y"), (9, f"x {PASSAGE} y")]
+
+
+def repeated(spark):
+    """Rows that share an identifier (null too) with other texts, or with the same, and a benchmark of several items."""
+    items = [(1, PASSAGE)] + [(i, " ".join(f"c{i}x{j}" for j in range(20))) for i in range(2, 8)]
+    return (cases.with_clashes(spark.createDataFrame(REPEATED, "doc_id bigint, text string")),
+            spark.createDataFrame(items, "item_id bigint, text string"))
+
+
+@pytest.mark.parametrize("windows_at_once", [D.WINDOWS_AT_ONCE, 40])
+def test_clean_rows_stay_whatever_their_identifier(spark, windows_at_once):
+    docs, benchmark = repeated(spark)
+    left = D.without_documents(docs, benchmark, windows_at_once=windows_at_once)
+    assert left.columns == docs.columns
+    assert cases.rows_of(left.select("doc_id", "text")) == sorted((r for r in REPEATED if PASSAGE not in (r[1] or "")), key=repr)
+
+
 def test_spans_are_cut_out(spark):
     docs, rows, benchmark, items = contaminated(spark)
     cut = D.without_spans(docs, benchmark)
