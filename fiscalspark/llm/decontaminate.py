@@ -3,7 +3,7 @@
 The windows of thirteen words of all items (or the whole of a shorter item) form a hash set that every task holds; a
 task hashes all windows of its documents in numpy, looks them up, and compares the words of each hit. The set is
 broadcast only up to ``WINDOWS_AT_ONCE`` windows. A larger benchmark is split by item into blocks below that bound,
-each of which is held against all documents; the hits of the blocks are joined by document.
+each of which is held against all documents; the hits of the blocks are joined by identifier and digest of the text.
 """
 
 from __future__ import annotations
@@ -155,11 +155,20 @@ def _found(docs: DataFrame, held: list, id_column: str, text_column: str) -> Dat
     parts = [rows.mapInArrow(_scanner(block), kind).select("id", "n_words", pairs.alias("spans"), "items") for block in held]
     found = parts[0]
     if not one:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("id").agg(
-            F.max("n_words").alias("n_words"), _merge(F.sort_array(F.flatten(F.collect_list("spans")))).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        rest = parts[1]
+        for part in parts[2:]:
+            rest = rest.unionByName(part)
+        # Equal rows have equal hits: one list of each block is enough, and each row of the first block meets one list.
+        rest = rest.where(F.size("spans") > 0).groupBy("id").agg(
+            F.flatten(F.collect_set("spans")).alias("more_spans"), F.flatten(F.collect_set("items")).alias("more_items"))
+        rest = rest.select(F.col("id.id").alias("other"), F.col("id.digest").alias("other_digest"), "more_spans", "more_items")
+        same = F.col("id.id").eqNullSafe(F.col("other")) & (F.col("id.digest") == F.col("other_digest"))
+        found = found.join(rest, same, "left").select(
+            "id", "n_words",
+            F.when(F.col("other_digest").isNull(), F.col("spans")).otherwise(
+                _merge(F.sort_array(F.concat("spans", "more_spans")))).alias("spans"),
+            F.when(F.col("other_digest").isNull(), F.col("items")).otherwise(
+                F.sort_array(F.array_distinct(F.concat("items", "more_items")))).alias("items"))
     return found.select("id.id", "id.digest", "n_words", "spans", "items")
 
 
@@ -169,9 +178,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
     ``spans`` are the hit words as half-open ranges of word numbers, merged; ``items`` the sorted identifiers of the
     items that occur. Null and empty texts have no words; an item without words is never found; an item without an
-    identifier is found but not listed. Rows that repeat an identifier each give a row as long as the benchmark fits
-    one block; otherwise rows are told apart by identifier and text. Other columns are not read. Without items every
-    document comes back without hits. ``of_benchmark``: the columns, window and block size of `_held`.
+    identifier is found but not listed. Rows that repeat an identifier, or an identifier and a text, each give a row,
+    whatever the size of the benchmark. Other columns are not read. Without items every document comes back without hits. ``of_benchmark``: the columns, window and block size of `_held`.
     """
     found = _found(docs, _held(benchmark, **of_benchmark), id_column, text_column)
     return found.select(F.col("id").alias(id_column), "n_words", "spans", "items")

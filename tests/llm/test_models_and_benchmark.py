@@ -166,6 +166,18 @@ def test_clean_rows_stay_whatever_their_identifier(spark, windows_at_once):
     assert cases.rows_of(left.select("doc_id", "text")) == sorted((r for r in REPEATED if PASSAGE not in (r[1] or "")), key=repr)
 
 
+def test_blocks_give_the_rows_of_one_scan(spark):
+    docs, rows, benchmark, items = contaminated(spark)
+    docs = docs.unionByName(docs.where("doc_id < 20"))
+    whole = cases.rows_of(D.report(docs, benchmark))
+    assert cases.rows_of(D.report(docs, benchmark, windows_at_once=60)) == whole and len(whole) > len(rows)
+    counts = [w[:4] + w[5:] for w in whole]
+    assert sorted(counts, key=repr) == report_by_hand(rows + [r for r in rows if r[0] is not None and r[0] < 20], items)
+    docs, benchmark = repeated(spark)
+    hits = [cases.rows_of(D.find_hits(docs, benchmark, windows_at_once=n)) for n in (D.WINDOWS_AT_ONCE, 40)]
+    assert hits[0] == hits[1] and len(hits[0]) == len(REPEATED)
+
+
 def test_spans_are_cut_out(spark):
     docs, rows, benchmark, items = contaminated(spark)
     cut = D.without_spans(docs, benchmark)
