@@ -217,32 +217,52 @@ def without_documents(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     return docs.join(bad, same, "left_anti")
 
 
-def _cutter(table: bytes):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(text: str | None, starts: list[int], ends: list[int]) -> str | None:
+    """The text without the words of the spans; what stands between words stays."""
+    if not starts:
+        return text
+    raw = text.encode()
+    w, pieces, at = W.split([raw], W.BY_ALNUM), [], 0
+    for start, end in zip(starts, ends, strict=True):
+        pieces.append(raw[at:w.starts[start]])
+        at = w.ends[end - 1]
+    return b"".join([*pieces, raw[at:]]).decode()
+
+
+def _cutter(windows):
+    """Rows ``id, text`` from ``id, text``, scanned and cut."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = windows.value
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                if spans:
-                    w, pieces, at = W.split([raw], table), [], 0
-                    for span in spans:
-                        pieces.append(raw[at:w.starts[span["s"]]])
-                        at = w.ends[span["e"] - 1]
-                    raw = b"".join([*pieces, raw[at:]])
-                out.append(None if text is None else raw.decode())
+            _, spans = _spans(held, _bytes(batch.column(1)))
+            out = [_cut(text, s[0], s[1]) for text, s in zip(batch.column(1).to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
-    return cut
+    return run
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                  **columns) -> DataFrame:
-    """``<id>, <text>`` of every document with the hit words cut out of its text; null stays null."""
-    hits = find_hits(docs, benchmark, id_column, text_column, **columns).select(
-        F.col(id_column).alias("_id"), "spans", "n_words").dropDuplicates(["_id", "n_words", "spans"])
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    joined = rows.join(hits, rows["id"].eqNullSafe(hits["_id"]), "left").select("id", "text", "spans")
-    kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(_cutter(W.BY_ALNUM), f"id {kind}, text string").select(
-        F.col("id").alias(id_column), F.col("text").alias(text_column))
+def _cut_given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``id, text`` from ``id, text, spans``."""
+    for batch in batches:
+        out = [_cut(text, [x["s"] for x in spans or ()], [x["e"] for x in spans or ()])
+               for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
 
 
+def without_spans(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                  **of_benchmark) -> DataFrame:
+    """``<id>, <text>`` of every row with the hit words cut out of its own text; null stays null.
+
+    While the benchmark fits one block, a row is cut in the pass that scans it. Otherwise the spans are matched by
+    identifier and digest of the text.
+    """
+    held = _held(benchmark, **of_benchmark)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, text string"
+    if len(held) == 1:
+        cut = rows.mapInArrow(_cutter(held[0]), kind)
+    else:
+        hits = _found(docs, held, id_column, text_column).where(F.size("spans") > 0).groupBy("id", "digest").agg(
+            F.first("spans").alias("spans")).select(F.col("id").alias("_id"), "digest", "spans")
+        same = rows["id"].eqNullSafe(hits["_id"]) & (_digest("text") == hits["digest"])
+        cut = rows.join(hits, same, "left").select("id", "text", "spans").mapInArrow(_cut_given, kind)
+    return cut.select(F.col("id").alias(id_column), F.col("text").alias(text_column))

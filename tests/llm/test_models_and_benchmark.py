@@ -188,6 +188,15 @@ def test_spans_are_cut_out(spark):
         assert len(words_by_hand(text, alnum)) <= expected[doc_id][1] - expected[doc_id][2] + 1 or expected[doc_id][2] == 0
 
 
+@pytest.mark.parametrize("windows_at_once", [D.WINDOWS_AT_ONCE, 40])
+def test_spans_are_cut_out_of_their_own_row(spark, windows_at_once):
+    docs, benchmark = repeated(spark)
+    more = [(7, "b0"), (None, f"a longer start {PASSAGE} and {PASSAGE}")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    expected = [(i, t and t.replace(PASSAGE, "")) for i, t in REPEATED + more]
+    assert cases.rows_of(D.without_spans(docs, benchmark, windows_at_once=windows_at_once)) == sorted(expected, key=repr)
+
+
 def test_contamination_of_empty_tables(spark):
     docs, _, benchmark, _ = contaminated(spark)
     assert D.report(docs.where("false"), benchmark).collect() == []
