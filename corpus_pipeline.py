@@ -2,10 +2,8 @@
 
 Stages: toxic documents go; one of each set of equal texts stays; one of each near-duplicate component stays; documents
 contaminated by the benchmark go; what is left is encoded by byte-level BPE. Every stage works on all documents that the
-one before kept, and all but the last return the columns of documents. A document row is told from others by its
-identifier: rows that repeat one are kept or dropped together by the stages that join on it, except that exact
-deduplication leaves one. Rows without identifier are judged like any other by the toxicity stage and pass the stages
-that join on the identifier unless they fail them as a group.
+one before kept, and all but the last return the columns of documents. Every row is judged by its own text, whether or
+not it has an identifier or shares it with another: stages that join tell rows apart by identifier and digest of the text.
 """
 
 from __future__ import annotations
@@ -19,12 +17,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose identifiers are listed, with their own columns."""
-    names = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(names, docs["doc_id"].eqNullSafe(names["_kept"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of a model fitted on these documents and the visible labels."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -41,8 +33,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each component stays."""
-    return _only(docs, ngram_join.near_duplicates(docs).where("doc_id <=> component_id"))
+    """One row of each component stays, of the smallest identifier (null last); so does each text without words."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn("_text", F.unhex(F.sha2("text", 256)))
+    # Rows equal in both are one; as the key holds the text, a component's smallest key is in no other component.
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("_text").alias("digest"))
+    near = ngram_join.near_duplicates(keyed.select(key.alias("key"), "text"), "key")
+    kept = near.where("key = component_id").select(
+        F.col("key.id").alias("_kept"), F.col("key.digest").alias("_kept_text")).distinct()
+    same = keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed["_text"] == kept["_kept_text"])
+    one = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    return one.unionByName(docs.where(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,22 @@ def test_stages_match_a_plain_pipeline(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_near_copies_that_share_an_identifier(spark, tmp_path):
+    """One row of each component stays, with its own text, also where identifiers repeat or are missing."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(2, a), (5, f"{a} more"), (5, b), (6, c), (6, f"{c} more"), (6, f"{c} more"), (None, f"{d} more"), (None, d),
+            (None, "alone without an identifier"), (None, f"{b} more"), (9, None), (9, " "), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    left = [tuple(r) for r in got.select("doc_id", "text").collect()]
+    assert got.columns == docs.columns and set(left) <= set(rows)
+    sure = [(2, a), (5, b), (None, "alone without an identifier"), (9, None), (9, " "), (None, None), (None, "")]
+    others = [r for r in left if r not in sure]
+    assert sorted((r for r in left if r in sure), key=repr) == sorted(sure, key=repr)
+    assert sorted((i, t.split()[0]) for i, t in others if i) == [(6, "c0")]
+    assert [(i, t.split()[0]) for i, t in others if i is None] == [(None, "d0")]
+
+
 def test_pipeline_of_empty_documents(spark, tmp_path):
     tables(spark, tmp_path / "full")
     for name in ("labels", "benchmark"):
