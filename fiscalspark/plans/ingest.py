@@ -101,9 +101,10 @@ def ingest_folder(spark: SparkSession, root: str, batch_id: str | None = None, h
 
 
 def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None) -> Import:
-    """ZIP archives below the root; one that tries to write outside itself is refused as a whole."""
+    """ZIP archives below the root; one that is damaged or tries to write outside itself is refused as a whole."""
     batch_id = batch_id or str(uuid.uuid4())
     chunks = tree.expand_archives(spark, root)
     refused = chunks.where(F.col("problem").isNotNull()).select(
         F.col("archive").alias("path"), F.col("problem").alias("message"))
-    return ingest_lines(tree.archive_files(chunks), tree.archive_lines(chunks), batch_id, None, refused)
+    whole = tree.whole_archives(chunks)
+    return ingest_lines(tree.archive_files(whole), tree.archive_lines(whole), batch_id, None, refused)

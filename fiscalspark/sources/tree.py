@@ -16,6 +16,8 @@ cloudpickle.register_pickle_by_value(csv_tasks)
 CSV_GLOB = "*.[cC][sS][vV]"
 ADMITTED_GLOB = "*.{[cC][sS][vV],[xX][lL][sS],[xX][lL][sS][xX],[pP][dD][fF]}"
 ZIP_GLOB = "*.[zZ][iI][pP]"
+#: Between an archive and its member, in the path of a member whose name several archives hold.
+ARCHIVE_MARK = "!/"
 
 # --- Fixed values ------------------------------------------------------------------------------
 REGISTERED_EXTENSIONS = (".csv", ".xlsx", ".xls", ".pdf")
@@ -32,7 +34,8 @@ CONTROL_WORD, CONTROL_GROUP, UNKNOWN_GROUP = "скк", "control_example", "unkno
 
 
 def source_group(relative_path: Column) -> Column:
-    path = F.replace(fold_case(relative_path), F.lit("\\"), F.lit("/"))
+    inside = F.regexp_replace(relative_path, rf"(?s)^.*\.[zZ][iI][pP]{ARCHIVE_MARK}", "")
+    path = F.replace(fold_case(inside), F.lit("\\"), F.lit("/"))
     rules = [
         F.when(
             F.contains(path, F.lit(word)) | F.contains(path, F.lit("/" + number)) | F.startswith(path, F.lit(number)),
@@ -110,6 +113,15 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     return archives.mapInArrow(csv_tasks.expand_archives, csv_tasks.CHUNK_FIELDS)
 
 
+def whole_archives(chunks: DataFrame) -> DataFrame:
+    """Chunks of the archives without a problem; a member name that several of them hold gets its archive in front."""
+    refused = chunks.where(F.col("problem").isNotNull()).select("archive").distinct()
+    whole = chunks.join(refused, "archive", "left_anti")
+    repeated = whole.groupBy("path").agg(F.count_distinct("archive").alias("archives")).where("archives > 1")
+    path = F.when(F.col("archives").isNull(), F.col("path")).otherwise(F.concat("archive", F.lit(ARCHIVE_MARK), "path"))
+    return whole.join(repeated, "path", "left").withColumn("path", path).select(*chunks.columns)
+
+
 def archive_files(chunks: DataFrame) -> DataFrame:
     sizes = chunks.where(F.col("problem").isNull()).groupBy("path").agg(F.max("size").alias("size_bytes"))
     return sizes.withColumn("extension", extension(F.col("path")))

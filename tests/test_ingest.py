@@ -172,6 +172,22 @@ def test_archives(spark, tmp_path):
         ("bad.zip", "unsafe archive path: ../evil.csv")]
 
 
+def test_archives_with_equal_member_names_and_a_damaged_one(spark, tmp_path):
+    name = "1. РЧБ/январь2025.csv"
+    for archive in ("a.zip", "3. гз.zip"):
+        with zipfile.ZipFile(tmp_path / archive, "w") as opened:
+            opened.writestr(name, E.RCHB)
+    with zipfile.ZipFile(tmp_path / "damaged.zip", "w") as opened:
+        opened.writestr("1. РЧБ/whole.csv", E.RCHB)
+        opened.writestr("1. РЧБ/broken.csv", E.RCHB + "mark-of-the-damage")
+    raw = (tmp_path / "damaged.zip").read_bytes()
+    (tmp_path / "damaged.zip").write_bytes(raw.replace(b"mark-of-the-damage", b"mark-of-the-DAMAGE"))
+    done = ingest_archives(spark, str(tmp_path), "z")
+    counts = {r["source_file"]: (r["source_group"], r["count"]) for r in done.facts.groupBy("source_file", "source_group").count().collect()}
+    assert counts == {f"{archive}!/{name}": ("rchb", 5) for archive in ("a.zip", "3. гз.zip")}
+    assert [e["path"] for e in done.errors.collect()] == ["damaged.zip"]
+
+
 def test_header_rules(spark, tmp_path):
     """Duplicate and blank headers, short and long rows."""
     root = E.write(tmp_path, {
