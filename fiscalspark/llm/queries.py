@@ -239,3 +239,58 @@ m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
 """
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_importance_resampling"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+target AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bits AS (
+  SELECT c.i AS byte, list_reduce(range(0, 9), lambda x, y: CASE WHEN y = 0 THEN x WHEN x & 1 = 1
+         THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, c.i::BIGINT) AS value FROM range(256) c(i)),
+crc AS (SELECT list(value ORDER BY byte) AS t FROM bits),
+docs AS (SELECT row_number() OVER () AS r, doc_id, w FROM words),
+spots AS (
+  SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM docs),
+aims AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM target),
+every AS (SELECT DISTINCT feature FROM (SELECT feature FROM spots UNION ALL SELECT feature FROM aims)),
+hexed AS (SELECT feature, hex(encode(feature)) AS h FROM every),
+digits AS (
+  SELECT feature, list_transform(range(1, len(h), 2), lambda i: ((instr('0123456789ABCDEF', h[i]) - 1) * 16
+         + instr('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT) AS bytes FROM hexed),
+bucketed AS (
+  SELECT feature, xor(list_reduce(list_concat([4294967295::BIGINT], bytes),
+         lambda x, y: xor(x >> 8, t[xor(x & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM digits, crc),
+s AS (SELECT bucket, count(*) AS s FROM spots JOIN bucketed USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM aims JOIN bucketed USING (feature) GROUP BY bucket),
+totals AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS big_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS big_t),
+gain AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000) / ((s + 1)::DOUBLE * (big_t + 10000)))) AS gain
+  FROM s LEFT JOIN t USING (bucket), totals),
+sums AS (
+  SELECT r, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight
+  FROM spots JOIN bucketed USING (feature) JOIN gain USING (bucket) GROUP BY r),
+hashed AS (SELECT docs.*, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM docs),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((list_reduce(list_concat([0::BIGINT], list_transform(range(1, 9),
+           lambda i: (instr('0123456789abcdef', h[i]) - 1)::BIGINT)), lambda x, y: x * 16 + y) + 0.5) / 4294967296))))::BIGINT AS score
+  FROM hashed LEFT JOIN sums USING (r)),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
