@@ -294,3 +294,47 @@ placed AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
 FROM scored LEFT JOIN placed USING (r)
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm import prefix_trie as P, scratch
+
+    lists = scratch.keep(P.turn_lists(table(spark, sf_dir, "conversations")), "turn-lists")
+    return P.prefix_trie(P.rebuilt(lists))
+
+
+SQL["op12_prefix_trie"] = r"""
+WITH c AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bits AS (
+  SELECT c.i AS byte, list_reduce(range(0, 9), lambda x, y: CASE WHEN y = 0 THEN x WHEN x & 1 = 1
+         THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, c.i::BIGINT) AS value FROM range(256) c(i)),
+crc AS (SELECT list(value ORDER BY byte) AS crc_table FROM bits),
+h AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''),
+         lambda x: ascii(x)::BIGINT)), lambda x, y: xor(x >> 8, crc_table[xor(x & 255, y) + 1])), 4294967295) % 6 AS h
+  FROM c, crc),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t[1:h.h], c.t[1:0]), c.t[h.h + 1:]) AS t
+  FROM c JOIN h ON h.conv_id = c.conv_id LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, len(t) AS n, unnest(range(0, len(t) + 1)) AS d, t FROM r),
+nodes AS (
+  SELECT d, t[1:d] AS path, min(conv_id) AS low, count(*) AS n, sha256(coalesce(string_agg(
+         conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends
+  FROM p GROUP BY d, t[1:d]),
+child AS (
+  SELECT k.d, k.path, a.low AS parent_low FROM nodes k JOIN nodes a ON a.d = k.d - 1 AND a.path = k.path[1:k.d - 1]),
+kids AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n FROM child GROUP BY 1, 2),
+own AS (
+  SELECT nodes.d, nodes.path, kids.n IS NULL AS leaf, (nodes.n - 1) * CASE WHEN nodes.d > 0 THEN length(path[nodes.d].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids USING (d, path)),
+below AS (
+  SELECT k AS d, path[1:k] AS path, sum(leaf::INT)::BIGINT AS leaves, sum(saved)::BIGINT AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM own) GROUP BY 1, 2)
+SELECT nodes.low AS conv_id, nodes.d AS depth, child.parent_low AS parent_conv_id, nodes.n AS n_convs,
+       coalesce(kids.n, 0) AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN below USING (d, path) LEFT JOIN kids USING (d, path) LEFT JOIN child USING (d, path)
+"""
