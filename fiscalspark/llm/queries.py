@@ -338,3 +338,29 @@ SELECT nodes.low AS conv_id, nodes.d AS depth, child.parent_low AS parent_conv_i
        coalesce(kids.n, 0) AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, nodes.ends AS ends_sha256
 FROM nodes JOIN below USING (d, path) LEFT JOIN kids USING (d, path) LEFT JOIN child USING (d, path)
 """
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fiscalspark.llm.recompression import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op11_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM g),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h WHERE h IN (SELECT h FROM again)),
+lost AS (SELECT r, list(i) AS gone FROM gone GROUP BY r),
+k AS (
+  SELECT doc_id, w, coalesce(gone, []) AS gone,
+         list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains(gone, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS kept
+  FROM d LEFT JOIN lost USING (r))
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+       sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE kept END, ' ')) AS kept_sha256
+FROM k
+"""
