@@ -258,9 +258,9 @@ def _round_parts(words: W.Words, k1: np.ndarray, k2: np.ndarray, window: int) ->
 def _judged(rows: DataFrame) -> DataFrame:
     """Units against all others: settled ones become marks, those to compare window by window are asked for."""
     units_only = F.col("kind") <= SETTLED
-    dealt = rows.repartition(F.when(units_only, F.col("anchor")).when(F.col("kind") == MARK, F.col("k1")).otherwise(F.col("content")))
-    same = Window.partitionBy("anchor", "content", units_only)
-    group = Window.partitionBy("anchor", units_only)
+    # What is no unit only passes through: dealt by itself, in no group.
+    dealt = rows.withColumn("deal", F.when(units_only, F.col("anchor")).otherwise(F.xxhash64("k1", "spot"))).repartition("deal")
+    same, group = Window.partitionBy("deal", "content"), Window.partitionBy("deal")
     seen = dealt.select(
         "*", (F.count(F.lit(1)).over(same) > 1).alias("copied"), (F.max((F.col("kind") == SETTLED).cast("int")).over(same) > 0).alias("settled"),
         F.min(F.when(F.col("kind") != OPENED, F.col("k1"))).over(same).alias("least"),
