@@ -4,21 +4,26 @@ Each page is parsed into a tree by a small tolerant scanner. Elements that never
 forms, adverts, notices, reader comments) are left out. Every remaining paragraph earns points for its length and
 commas; its parent gets them in full, ancestors further up a falling share, all discounted by the share of text inside
 links. The container with most points is the article; siblings that score well, or read like paragraphs, are kept.
-Trees are walked without recursion, so depth and length of a page are not limited.
+
+Class and id names are hints. Reader comments go; another clear name (an advert, a sidebar) counts unless the element holds
+most of the article around it; a name that an article may use itself (``discussion``, ``related-work``, ``header``) is set aside for scoring only,
+and inside the chosen article such an element goes only if its text is mostly links, or a few words in a plain container.
+Lists of links stay inside an article.
+Trees are walked without recursion, so depth and length of a page are not limited; the work is linear in the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"</?[a-zA-Z][^\s/>]*")
+IN_TAG = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -42,13 +47,14 @@ NEVER_TEXT = RAW | frozenset(
     "applet map datalist".split())
 NEVER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class and id names that mark what is not the article.
+#: Parts of class and id names that mark what is not the article, and those that may name parts of an article, too.
 UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner "
-    "banners sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar cookie "
-    "cookies consent gdpr notice notices alert comment comments commentlist disqus respond reply replies discussion share "
-    "sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay "
-    "widget widgets pagination pager skip toolbar paywall copyright".split())
+    "ad ads adv advert adverts advertisement advertising adsense sponsored promo promos sidebar sidebars menu menus nav navbar "
+    "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert newsletter popup modal pagination pager paywall".split())
+READERS = frozenset("comment comments commentlist disqus".split())
+AMBIGUOUS = frozenset(
+    "sponsor sponsors promotion banner banners footer masthead header topbar respond reply replies discussion share sharing social "
+    "related recommended recommendations subscribe subscription signup login overlay widget widgets skip toolbar copyright".split())
 #: Parts that make a name speak of a layout around something, and beginnings of names for the head of an article.
 LAYOUT = frozenset("with has no without layout".split())
 TITLED = frozenset("article post entry story content".split())
@@ -61,21 +67,58 @@ SHARES = (1.0, 0.5, 1 / 6, 1 / 9)
 CHARS_A_POINT = 100
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 SIBLING_CHARS, SIBLING_LINKS, LINK_LIST = 80, 0.25, 0.5
+#: An element with more than this share of its article is no advert or notice, whatever its name.
+MOST = 0.5
+#: In an article, plain containers with an ambiguous name go if they hold at most so many characters.
+FEW_CHARS = 100
+PLAIN = frozenset("div span ul ol center".split())
+ALWAYS, CLEAR, VAGUE, NEITHER = 3, 2, 1, 0
 
 
-def unlikely_name(name: str) -> bool:
-    """Does a class or id name something beside the article, such as ``page-footer``, and not its title or a layout?"""
+def name_hint(name: str) -> int:
+    """Does a class or id name something beside the article, such as ``page-sidebar``, and not its title or a layout?"""
     parts = [p.lower() for p in NAME_PARTS.findall(name)]
     if LAYOUT & set(parts) or parts[-1:] == ["header"] and TITLED & set(parts):
-        return False
-    return bool(UNLIKELY & set(parts))
+        return NEITHER
+    return ALWAYS if READERS & set(parts) else CLEAR if UNLIKELY & set(parts) else VAGUE if AMBIGUOUS & set(parts) else NEITHER
+
+
+def next_tag(html: str, at: int, last: int) -> tuple[int, int, str, bool, str] | None:
+    """(begin, end, name, whether it closes, attributes) of the next tag or comment (no name) at or behind a place.
+
+    ``last`` is the place of the last ``>``: nothing behind it is a tag. A quote without its partner is an ordinary letter.
+    """
+    while 0 <= (begin := html.find("<", at)) < last:
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            return begin, end + 3 if end >= 0 else len(html), "", False, ""
+        if html.startswith("<![CDATA[", begin):
+            end = html.find("]]>", begin)
+            return begin, end + 3 if end >= 0 else len(html), "", False, ""
+        if html.startswith(("<!", "<?"), begin):
+            return begin, html.find(">", begin) + 1, "", False, ""
+        if named := NAME.match(html, begin):
+            place = named.end()
+            while found := IN_TAG.search(html, place):
+                if found[0] == ">":
+                    end = found.end()
+                    break
+                partner = html.find(found[0], found.end())
+                place = partner + 1 if partner >= 0 else found.end()
+            else:
+                end = html.find(">", named.end()) + 1
+            name = named[0].lstrip("</").lower()
+            return begin, end, name, named[0][1] == "/", html[named.end():end - 1]
+        at = begin + 1
+    begin = html.find("<!--", at)
+    return (begin, len(html), "", False, "") if begin >= 0 else None
 
 
 class Page:
     """Elements by number in page order (a parent before its children) and the sequence of texts and block borders."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.attributes = ["#"], [0], [""]
+        self.tag, self.parent, self.attributes, self.block = ["#"], [0], [""], [0]
         self.items: list[tuple[int, str | None]] = []
         self._parse(html)
 
@@ -83,32 +126,36 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         self.attributes.append(attributes)
+        self.block.append(len(self.block) if tag in BLOCK else self.block[parent])
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
-        stack, at, items, tags = [0], 0, self.items, self.tag
+        stack, at, items, tags, last = [0], 0, self.items, self.tag, html.rfind(">")
+        open_now: Counter[str] = Counter()
 
         def cut_back(wanted: set | frozenset, borders: set | frozenset) -> None:
+            if not any(open_now[w] for w in wanted):
+                return
             for k in range(len(stack) - 1, 0, -1):
                 name = tags[stack[k]]
                 if name in wanted:
+                    open_now.subtract([tags[e] for e in stack[k:]])
                     del stack[k:]
                     return
                 if name in borders:
                     return
 
         while at < len(html):
-            found = TAG.search(html, at)
-            end = found.start() if found else len(html)
+            found = next_tag(html, at, last)
+            end = found[0] if found else len(html)
             if end > at:
                 items.append((stack[-1], unescape(html[at:end])))
             if not found:
                 break
-            at = found.end()
-            name = found[2] and found[2].lower()
+            _, at, name, closes, attributes = found
             if not name:
                 continue
-            if found[1]:
+            if closes:
                 if name in BLOCK:
                     items.append((stack[-1], None))
                     cut_back({name}, frozenset(("html",)) if name == "body" else SCOPE - {name} if name in ("p", "li", "td") else frozenset())
@@ -122,9 +169,9 @@ class Page:
             if name == "br" or name == "hr":
                 items.append((stack[-1], None))
                 continue
-            if name in VOID or found[3].endswith("/") and name not in BLOCK and name not in RAW:
+            if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
                 continue
-            node = self._open(name, stack[-1], found[3])
+            node = self._open(name, stack[-1], attributes)
             if name in BLOCK:
                 items.append((node, None))
             if name in RAW:
@@ -132,45 +179,66 @@ class Page:
                 at = close.end() if close else len(html)
             else:
                 stack.append(node)
+                open_now[name] += 1
 
-    def _unlikely(self, node: int) -> bool:
+    def _hint(self, node: int) -> int:
+        tag, raw = self.tag[node], self.attributes[node]
+        if not raw or tag in KEPT_TAGS:
+            return NEITHER
+        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(raw)}
+        return max(map(name_hint, f"{found.get('class', '')} {found.get('id', '')}".split()), default=NEITHER)
+
+    def _hidden(self, node: int) -> bool:
         tag, raw = self.tag[node], self.attributes[node]
         if not raw or tag in KEPT_TAGS:
             return False
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(raw)}
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in NEVER_ROLES:
             return True
-        if "display:none" in found.get("style", "").replace(" ", "").lower():
-            return True
-        return any(map(unlikely_name, f"{found.get('class', '')} {found.get('id', '')}".split()))
+        return "display:none" in found.get("style", "").replace(" ", "").lower()
+
+    def _amounts(self, dropped: list[bool], linked: list[bool]) -> tuple[list[int], ...]:
+        """Characters, those in links and commas below every element, and characters of its own as a block."""
+        n = len(self.tag)
+        length, links, commas, own = [0] * n, [0] * n, [0] * n, [0] * n
+        for node, text in self.items:
+            if text is not None and not dropped[node] and (size := len(" ".join(text.split()))):
+                length[node] += size
+                links[node] += size * linked[node]
+                commas[node] += text.count(",") + text.count("、") + text.count("，") + text.count("،")
+                own[self.block[node]] += size
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            length[up] += length[k]
+            links[up] += links[k]
+            commas[up] += commas[k]
+        return length, links, commas, own
 
     def main_text(self) -> str:
         tag, parent = self.tag, self.parent
         n = len(tag)
-        dropped, linked, inside, around = [False] * n, [False] * n, [False] * n, [False] * n
+        never, linked, inside, around, home = [False] * n, [False] * n, [False] * n, [False] * n, [0] * n
         for k in range(n - 1, 0, -1):  # what holds an article is never left out for its name
             around[parent[k]] |= around[k] or tag[k] in ("article", "main")
         for k in range(1, n):
             up = parent[k]
             inside[k] = inside[up] or tag[up] in ("article", "main")
+            home[k] = up if tag[up] in ("article", "main") else home[up]
             header = tag[k] == "header" and not inside[k]
-            dropped[k] = dropped[up] or tag[k] in NEVER_TEXT or not around[k] and (header or self._unlikely(k))
+            never[k] = never[up] or tag[k] in NEVER_TEXT or not around[k] and (header or self._hidden(k))
             linked[k] = linked[up] or tag[k] == "a"
-        length, links, commas, own = [0] * n, [0] * n, [0] * n, [0] * n
-        for node, text in self.items:
-            if text is not None and not dropped[node] and (size := len(" ".join(text.split()))):
-                length[node] += size
-                links[node] += size * linked[node]
-                commas[node] += text.count(",") + text.count("、") + text.count("，") + text.count("،")
-                k = node
-                while tag[k] not in BLOCK and k:
-                    k = parent[k]
-                own[k] += size
-        for k in range(n - 1, 0, -1):
+        hint = [NEITHER if around[k] or never[k] else self._hint(k) for k in range(n)]
+        whole, whole_links = self._amounts(never, linked)[:2] if any(hint) else ([], [])
+        dropped, aside = never[:], [False] * n
+        for k in range(1, n):
             up = parent[k]
-            length[up] += length[k]
-            links[up] += links[k]
-            commas[up] += commas[k]
+            dropped[k] |= dropped[up]
+            aside[k] = aside[up]
+            if hint[k] and not dropped[k] and (not inside[k] or hint[k] == ALWAYS or whole[k] <= MOST * whole[home[k]]):
+                dropped[k] = True
+                aside[k] = hint[k] == VAGUE
+        set_aside, dropped_for_good = aside, [d and not a for d, a in zip(dropped, aside)]
+        length, links, commas, own = self._amounts(dropped, linked)
         score = [0.0] * n
         for k in range(1, n):
             if dropped[k] or tag[k] not in PARAGRAPHS or not own[k]:
@@ -198,18 +266,25 @@ class Page:
                 and self._sibling(k, score[k], most, length[k], links[k] / length[k])}
         kept = [False] * n
         kept[0] = 0 in roots
-        in_link_list = [False] * n
+        in_link_list, out = [False] * n, dropped_for_good
+        prose = [False] * n  # has an earlier child that reads as prose
         for k in range(1, n):
             up = parent[k]
             kept[k] = kept[up] or k in roots
+            out[k] |= out[up]
+            if hint[k] == VAGUE and set_aside[k] and kept[k] and not out[k]:
+                few = tag[k] in PLAIN and whole[k] <= FEW_CHARS
+                out[k] = few or whole_links[k] > LINK_LIST * whole[k]
+            article = inside[k] or tag[k] in ("article", "main")
             in_link_list[k] = in_link_list[up] or (
                 tag[k] in ("ul", "ol", "div", "section", "table") and k not in roots and length[k] > 0
-                and links[k] / length[k] > LINK_LIST)
+                and links[k] / length[k] > LINK_LIST and not article and not prose[up])
+            prose[up] |= tag[k] in PARAGRAPHS and length[k] > SIBLING_CHARS and links[k] < SIBLING_LINKS * length[k]
         pieces = []
         for node, text in self.items:
             if text is None:
                 pieces.append(" ")
-            elif kept[node] and not dropped[node] and not in_link_list[node]:
+            elif kept[node] and not out[node] and not in_link_list[node]:
                 pieces.append(text)
         return " ".join("".join(pieces).split())
 

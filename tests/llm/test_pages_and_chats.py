@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,35 @@ def test_archives_give_back_every_record(spark):
     assert warc.read(spark, empty).collect() == []
 
 
+PROSE = "<p>Prose of an article, long enough to be told apart from a menu, with commas, and with so many words in it.</p>"
+
+
+@pytest.mark.parametrize("inner,kept", [
+    ("<h2 id=related-work>Related work</h2>", "Related work"), ("<section id=discussion><p>We discuss.</p></section>", "We discuss."),
+    ("<h1 class=header>Head</h1>", "Head"), ("<p class=share>Share of votes</p>", "Share of votes"), ("<p class=skip>Skip</p>", "Skip"),
+    ("<p class=reply>They replied</p>", "They replied"), ("<blockquote class=promotion>Quote</blockquote>", "Quote"),
+    ("<h2>References</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", "References One Two"),
+    ("<table><tr><td><a href=z>cell</a></td></tr></table>", "cell"), (f"<div class=notice>{PROSE * 9}</div>", None),
+    ("<div class=ad>buy</div>", ""), ("<div class=share><a href=q>post it</a></div>", ""), ("<div class=comments><p>no, no</p></div>", ""),
+    ("<div class=cookie-notice><p>we use cookies</p></div>", ""), ("<div class=related><a href=a>a</a> <a href=b>b</a></div>", ""),
+])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class=menu>m</div><div id=content>{}</div><div class=footer>f</div>"])
+def test_names_inside_an_article_are_hints_only(around, inner, kept):
+    prose = PROSE[3:-4]
+    if kept is None:
+        kept = " ".join([prose] * 9) if "article" in around else ""
+    expected = " ".join(filter(None, [prose, prose, kept, prose]))
+    assert html_text.main_text(around.format(PROSE * 2 + inner + PROSE)) == expected
+
+
+@pytest.mark.parametrize("html", ["<a " * 60_000, "<b>" * 40_000 + "x", "<b>x" * 30_000, '<a "' * 30_000 + ">x", "<p class='x" * 20_000,
+                                  "<div><p>a, b" * 20_000, "<!--" * 30_000 + "x", "</i>" * 50_000 + "<i>x"])
+def test_long_broken_pages_take_linear_time(html):
+    started = time.perf_counter()
+    html_text.main_text(html)
+    assert time.perf_counter() - started < 8
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("<p></p>", ""), ("plain, text", "plain, text"),
     (f"<nav><a href=x>menu</a></nav><article><h1>T &eacute;</h1>{BODY}</article><footer>f</footer>", "T é One two three, four five, six seven & eight."),
