@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from fiscalspark.llm import scratch, zframes
 from fiscalspark.llm.byte_bpe import byte_characters
 
-#: Distinct pre-tokens, and chunks between spaces, whose encoding a task remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens, and chunks between spaces, in one generation of a task's memory; the one before is kept, too.
+REMEMBERED = 300_000
 #: Documents that one read task's unit holds at most, and identifiers in one batch of rows.
 UNIT_DOCS = 2_000
 BATCH_IDS = 1 << 20
@@ -30,14 +30,37 @@ class _RunOfSpaces(Exception):
     """A space that does not stand alone."""
 
 
+class Memory:
+    """Encodings seen lately: when a generation is full it becomes the old one, and what is met again moves on."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def find(self, piece: str) -> bytes | None:
+        found = self.new.get(piece)
+        if found is None and (found := self.old.get(piece)) is not None:
+            self.put(piece, found)
+        return found
+
+    def put(self, piece: str, encoding: bytes) -> bytes:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[piece] = encoding
+        return encoding
+
+
 class PieceEncoder:
     """A tokenizers file, encoded pre-token by pre-token with a memory of those seen.
 
-    ``pattern`` is the splitting pattern of the file's pre-tokenizer (byte-level, no prefix space, no normaliser); each
-    pre-token then goes straight to the library's model. A text that holds an added token, and every text if no pattern
-    is given, goes to the library whole.
+    ``pattern`` is the splitting pattern of the file's pre-tokenizer; each pre-token then goes straight to the library's
+    model. If the file is not of this kind (byte-level, no prefix space, its own pattern, no normaliser) or cuts a probe
+    otherwise, no pattern is used. A text that holds an added token, and every text without a pattern, goes to the library
+    whole.
     """
 
+    #: Letters, digits, signs, contractions and white space of several kinds, for the comparison of patterns.
+    PROBE = "It's  they'LL we'd\t12ab34 é日本 \n\n x,y;.. \u00a0\u2003z²½ \U0001f600!  "
+
     _made: dict = {}
 
     def __init__(self, path: str, pattern: str | None):
@@ -45,12 +68,26 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = regex.compile(pattern).findall if pattern else None
+        self.cut = regex.compile(pattern).findall if pattern and self._is_of(pattern) else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.shown = {b: ord(c) for b, c in enumerate(byte_characters())}
-        self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.space = chr(self.shown[32])
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known, self.chunks = Memory(REMEMBERED), Memory(REMEMBERED)
+
+    def _is_of(self, pattern: str) -> bool:
+        """Does the file's pre-tokenizer cut as the pattern does?"""
+        import json
+
+        import regex
+
+        stated = json.loads(self.tokenizer.to_str())
+        before = stated.get("pre_tokenizer") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or stated.get("normalizer"):
+            return False
+        spans = [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.PROBE)]
+        return spans == [m.span() for m in regex.finditer(pattern, self.PROBE)]
 
     @classmethod
     def shared(cls, path: str, pattern: str | None) -> PieceEncoder:
@@ -62,33 +99,33 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, piece: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = self.known[piece] = self._merge(piece)
-        return out
+        found = self.known.find(piece)
+        if found is None and piece[0] == " ":
+            found = self.chunks.find(piece[1:])
+        return self.known.put(piece, self._merge(piece) if found is None else found)
 
     def _merge(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.shown)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(mapped)])
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.merge(piece.encode().decode("latin-1").translate(self.shown))])
 
     def _cut(self, text: str) -> bytes:
-        known, learn = self.known, self._learn
+        known, learn = self.known.new, self._learn
         return b"".join([known.get(p) or learn(p) for p in self.cut(text)])
 
     def _learn_chunk(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _RunOfSpaces
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
+        if (out := self.chunks.find(chunk)) is not None:
+            return out
         word, end = chunk[:-1], chunk[-1]
-        if chunk.isalpha():  # one pre-token
-            out = self._merge(f" {chunk}")
+        if chunk.isalpha():  # one pre-token; plain letters stand for themselves
+            ids = self.ids
+            out = b"".join([ids[t.id] for t in self.merge(self.space + chunk)]) if chunk.isascii() else self._merge(f" {chunk}")
         elif end in ",." and word.isalpha():  # two
-            out = (self.chunks.get(word) or self._learn_chunk(word)) + (self.known.get(end) or self._learn(end))
+            out = self._learn_chunk(word) + (self.known.new.get(end) or self._learn(end))
         else:
             out = self._cut(f" {chunk}")
-        self.chunks[chunk] = out
-        return out
+        return self.chunks.put(chunk, out)
 
     def encode(self, text: str) -> bytes:
         """Identifiers as little-endian unsigned 32-bit integers.
@@ -100,7 +137,7 @@ class PieceEncoder:
         head, *rest = text.split(" ")
         if rest and (not head or head[-1].isspace()):
             return self._cut(text)
-        chunks, learn = self.chunks, self._learn_chunk
+        chunks, learn = self.chunks.new, self._learn_chunk
         try:
             return self._cut(head) + b"".join([chunks.get(c) or learn(c) for c in rest])
         except _RunOfSpaces:

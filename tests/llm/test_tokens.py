@@ -94,3 +94,20 @@ def test_frames_are_found_checked_and_plain_zstandard(tmp_path):
     with pytest.raises(ValueError):
         zframes.FrameReader(io.BytesIO(bytes(table))).frame(4)
     assert [p.name for p in tmp_path.iterdir()] == ["x.zst"]
+
+
+def test_memory_of_two_generations_and_the_check_of_the_pattern(monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from fiscalspark.llm import token_store
+
+    monkeypatch.setattr(token_store, "REMEMBERED", 3)
+    encoder, library = token_store.PieceEncoder(P.path("byte_bpe_50k.json"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    text = "one two, three. four.\nFive two, one seven é日 one. two\nthree  four one"
+    for part in (text, text[::-1], text):
+        ids = library.encode(part, add_special_tokens=False).ids
+        assert encoder.encode(part) == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert len(encoder.chunks.new) <= 3 and len(encoder.chunks.old) <= 3
+    assert encoder.cut and token_store.PieceEncoder(P.path("byte_bpe_50k.json"), r"\S+|\s+").cut is None
+    assert token_store.PieceEncoder(P.path("word_bpe_49k.json"), P.PATTERN).cut is None
