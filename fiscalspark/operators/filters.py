@@ -12,7 +12,7 @@ from fiscalspark.functions.text import normalize_code
 from fiscalspark.plans.request import Filters, Request
 from fiscalspark.schema import EXACT_FILTERS, TEXT_SEARCH_COLUMNS
 
-_SUBSTRING_TARGETS = {
+SUBSTRING_TARGETS = {
     "object_query": ("object_name", "budget_name"),
     "budget_query": ("budget_name",),
     "organization_query": ("organization_name",),
@@ -50,7 +50,7 @@ def _conditions(request: Request, normalize_codes: bool) -> list[Column]:
         found.append(F.col("metric").isin(list(request.metrics)))
     if filters.source_groups:
         found.append(F.col("source_group").isin(list(filters.source_groups)))
-    for name, targets in _SUBSTRING_TARGETS.items():
+    for name, targets in SUBSTRING_TARGETS.items():
         query = getattr(filters, name)
         if query:
             found.append(reduce(or_, [contains_ci(F.col(t), query) for t in targets]))

@@ -6,6 +6,7 @@ from fiscalspark.oracle import MONEY, SQL, on_facts, percent
 from fiscalspark.plans import training as G
 from fiscalspark.plans.resolve import UNAVAILABLE
 from fiscalspark.queries_text import ENDINGS, SUBJECT_WORDS
+from fiscalspark.schema import TEXT_SEARCH_COLUMNS
 
 N = "COUNT(*) AS n"
 
@@ -198,12 +199,35 @@ SQL["prepared_examples"] = on_facts(" UNION ALL ".join(
         ("Покажи кассовые выплаты по 0502", "Кассовые выплаты по 0502", "metric = 'cash_payments' AND kfsr_code = 'Brand#7'"),
         ("Покажи сумму контрактов по источнику gz", "Контракты по gz", "metric = 'contract_amount' AND source_group = 'gz'"),
     )))
-SQL["answer_questions"] = on_facts(" UNION ALL ".join(
-    _answer(f"CAST({k} AS BIGINT) AS query_id",
-            f"metric = '{('limits', 'cash_payments', 'contract_amount')[k % 3]}' AND year = 1997 AND "
-            f"(object_name ILIKE '%NATION_{k}%' OR budget_name ILIKE '%NATION_{k}%')",
-            ("year",) if k % 2 == 0 else ("year", "month"))
-    for k in range(6)))
+_SUBJECTS = (
+    "asked AS (SELECT o_orderkey AS query_id, ['limits', 'cash_payments', 'contract_amount'][o_orderkey % 3 + 1] AS metric, "
+    "CAST(year(o_orderdate) AS INTEGER) AS y, o_orderkey % 5 = 0 AS by_year, CASE WHEN o_orderkey % 4 = 0 THEN n_name END AS object, "
+    "CASE WHEN o_orderkey % 4 = 1 THEN ['A', 'N', 'R'][o_orderkey % 7 % 3 + 1] END AS kvr, CASE WHEN o_orderkey % 4 = 2 THEN c_mktsegment END "
+    "AS segment, CASE WHEN o_orderkey % 4 = 3 THEN lower(c_mktsegment) END AS word FROM orders LEFT JOIN customer ON o_custkey = c_custkey "
+    "LEFT JOIN nation ON c_nationkey = n_nationkey), requests AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT metric, y, by_year, "
+    "object, kvr, segment, word FROM asked))")
+_TEXT = "lower(concat_ws(chr(1), " + ", ".join(TEXT_SEARCH_COLUMNS) + ", raw_text))"
+_CELLS = (
+    f"cells AS (SELECT metric, year, month, source_group, object_name, budget_name, kvr_code, funding_source, {_TEXT} AS t, SUM(value) AS value "
+    "FROM facts WHERE metric IN ('limits', 'cash_payments', 'contract_amount') GROUP BY ALL), met AS (SELECT r, by_year, c.metric, c.year, "
+    "c.month, c.source_group, c.value FROM requests q JOIN cells c ON c.metric = q.metric AND c.year = q.y WHERE (object IS NULL OR "
+    "coalesce(object_name ILIKE '%' || object || '%', FALSE) OR coalesce(budget_name ILIKE '%' || object || '%', FALSE)) AND (kvr IS NULL OR "
+    "kvr_code = kvr) AND (segment IS NULL OR funding_source = segment) AND (word IS NULL OR contains(t, word)))")
+_NO = "CAST(NULL AS VARCHAR)"
+_PARTS = " UNION ALL ".join((
+    f"SELECT r, 'summary' AS part, {MONEY} AS value, NULL::BIGINT AS months, {_NO} AS named FROM met GROUP BY r, metric",
+    f"SELECT r, 'rows', {MONEY}, year * 12 + CASE WHEN by_year THEN 0 ELSE month END, NULL FROM met GROUP BY r, by_year, metric, year, "
+    "CASE WHEN by_year THEN 0 ELSE month END",
+    f"SELECT r, 'timeseries', {MONEY}, NULL, printf('%04d-%02d', year, month) FROM met GROUP BY r, metric, year, month",
+    "SELECT r, 'source', NULL, NULL, source_group FROM met GROUP BY r, source_group",
+    f"SELECT r, 'execution', {percent('c', 'l')}, NULL, NULL FROM (SELECT r, SUM(CASE WHEN metric = 'cash_payments' THEN value END) AS c, "
+    "SUM(CASE WHEN metric = 'limits' THEN value END) AS l FROM met GROUP BY r)"))
+SQL["answer_questions"] = on_facts(
+    "SELECT query_id, part, n, total, months, named FROM asked a JOIN requests q ON a.metric = q.metric AND a.y = q.y AND a.by_year = q.by_year "
+    "AND a.object IS NOT DISTINCT FROM q.object AND a.kvr IS NOT DISTINCT FROM q.kvr AND a.segment IS NOT DISTINCT FROM q.segment AND "
+    "a.word IS NOT DISTINCT FROM q.word JOIN (SELECT r, part, COUNT(*) AS n, SUM(value) AS total, SUM(months)::BIGINT AS months, "
+    "coalesce(string_agg(DISTINCT named, ',' ORDER BY named), '') AS named FROM parts GROUP BY r, part) p ON p.r = q.r",
+    _SUBJECTS, _CELLS, f"parts AS ({_PARTS})")
 
 # --- Training sets -----------------------------------------------------------------------------
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscalspark.operators import bookkeeping as B, quarantine as Q, records as N
 from fiscalspark.sources import tree
+from fiscalspark.sources.csv_profile import DEFAULT_LIMITS, Limits
 
 
 @dataclass(frozen=True)
@@ -68,17 +69,17 @@ def normalize(records: DataFrame, profiles: DataFrame, batch_id: str, read_probl
 
 
 def ingest_lines(files: DataFrame, lines: DataFrame, batch_id: str, hashes: DataFrame | None = None,
-                 archive_problems: DataFrame | None = None) -> Import:
+                 archive_problems: DataFrame | None = None, limits: Limits = DEFAULT_LIMITS) -> Import:
     """Import files whose physical lines ``(path, block, line, seq)`` are already at hand."""
     held: list[DataFrame] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name, held)
 
-    blocks = keep(tree.index_blocks(lines), "blocks")
+    blocks = keep(tree.index_blocks(lines, limits), "blocks")
     profiles = tree.profiles(blocks)
-    parsed = keep(tree.parse_blocks(lines, blocks), "parsed")
-    records, read_problems = tree.read_records(parsed, blocks)
+    parsed = keep(tree.parse_blocks(lines, blocks, limits), "parsed")
+    records, read_problems = tree.read_records(parsed, blocks, limits)
     out = normalize(records, profiles, batch_id, read_problems, keep)
     registry = keep(
         B.file_registry(tree.register(files), profiles, out.problems, out.counts, hashes), "registry")
@@ -94,17 +95,18 @@ def ingest_lines(files: DataFrame, lines: DataFrame, batch_id: str, hashes: Data
     )
 
 
-def ingest_folder(spark: SparkSession, root: str, batch_id: str | None = None, hash_files: bool = True) -> Import:
+def ingest_folder(spark: SparkSession, root: str, batch_id: str | None = None, hash_files: bool = True,
+                  limits: Limits = DEFAULT_LIMITS) -> Import:
     batch_id = batch_id or str(uuid.uuid4())
     hashes = tree.hash_files(spark, root) if hash_files else None
-    return ingest_lines(tree.list_files(spark, root), tree.read_lines(spark, root), batch_id, hashes)
+    return ingest_lines(tree.list_files(spark, root), tree.read_lines(spark, root), batch_id, hashes, limits=limits)
 
 
-def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None) -> Import:
+def ingest_archives(spark: SparkSession, root: str, batch_id: str | None = None, limits: Limits = DEFAULT_LIMITS) -> Import:
     """ZIP archives below the root; one that is damaged or tries to write outside itself is refused as a whole."""
     batch_id = batch_id or str(uuid.uuid4())
     chunks = tree.expand_archives(spark, root)
     refused = chunks.where(F.col("problem").isNotNull()).select(
         F.col("archive").alias("path"), F.col("problem").alias("message"))
     whole = tree.whole_archives(chunks)
-    return ingest_lines(tree.archive_files(whole), tree.archive_lines(whole), batch_id, None, refused)
+    return ingest_lines(tree.archive_files(whole), tree.archive_lines(whole), batch_id, None, refused, limits)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalspark.functions import language as L
 from fiscalspark.operators import distinct as D
-from fiscalspark.plans import examples as X, resolve as R, training as G
+from fiscalspark.plans import examples as X, questions as Q, resolve as R, training as G
 from fiscalspark.queries import _facts, query
 from fiscalspark.schema import TEXT_SEARCH_COLUMNS
 from fiscalspark.session import ensure_checkpoint_dir
@@ -208,23 +208,34 @@ def prepared_examples(spark, sf_dir):
     return X.prepared(facts, mart.BATCH, X.for_mart())
 
 
-@query("answer_questions")
-def answer_questions(spark, sf_dir):
-    """Plain questions about nations of the tables, resolved and answered over all facts."""
-    nations = table(spark, sf_dir, "nation").where("n_nationkey < 6")
-    text = F.concat(F.lit("Покажи "), _pick(("лимиты", "кассовые выплаты", "договоры"), F.col("n_nationkey")), F.lit(" за 1997 год"))
-    empty = F.lit(None).cast(R.REQUEST_TYPE)
-    filters = F.struct(*[F.when(F.lit(f == "object_query"), F.col("n_name")).cast(R.FILTERS_TYPE[f].dataType).alias(f)
-                         if f != "source_groups" else F.lit(None).cast(R.FILTERS_TYPE[f].dataType).alias(f)
-                         for f in R.FILTERS_TYPE.fieldNames()])
+def _subjects(spark, sf_dir) -> DataFrame:
+    """One question per order about the customer's nation, a document code, a market segment or words; some by year."""
+    orders = table(spark, sf_dir, "orders").join(
+        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    key = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("Покажи "), _pick(("лимиты", "кассовые выплаты", "договоры"), key), F.when(key % 4 == 3, F.concat(
+            F.lit(" "), F.lower("c_mktsegment"))).otherwise(""), F.lit(" за "), F.year("o_orderdate"), F.lit(" год"))
+    subject = {"object_query": F.when(key % 4 == 0, F.col("n_name")), "kvr_code": F.when(key % 4 == 1, _pick(("A", "N", "R"), key % 7)),
+               "funding_source": F.when(key % 4 == 2, F.col("c_mktsegment"))}
+    filters = F.struct(*[subject.get(f, F.lit(None)).cast(R.FILTERS_TYPE[f].dataType).alias(f) for f in R.FILTERS_TYPE.fieldNames()])
     patch = F.struct(
         F.lit(None).cast("date").alias("date_from"), F.lit(None).cast("date").alias("date_to"),
         F.lit(None).cast("array<string>").alias("metrics"), filters.alias("filters"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("year"))).alias("group_by")).cast(R.REQUEST_TYPE)
-    asked = nations.select(F.col("n_nationkey").cast("bigint").alias("query_id"), text.alias("text_query"),
-                           empty.alias("explicit"), patch.alias("patch"))
+        F.when(key % 5 == 0, F.array(F.lit("year"))).alias("group_by")).cast(R.REQUEST_TYPE)
+    return orders.select(
+        key.alias("query_id"), text.alias("text_query"), F.lit(None).cast(R.REQUEST_TYPE).alias("explicit"), patch.alias("patch"))
+
+
+@query("answer_questions")
+def answer_questions(spark, sf_dir):
+    """A question per order, resolved and answered over all facts; of each part of an answer its rows, months and total."""
     facts = _facts(spark, sf_dir, *_ANSWER_COLUMNS)
-    return X.answer(R.resolve(asked), facts, mart.BATCH).select("query_id", "part", "year", "month", "period", "source_group", "metric", "value")
+    found = Q.answer(R.resolve(_subjects(spark, sf_dir)), facts, mart.BATCH)
+    return found.groupBy("query_id", "part").agg(
+        _count(), F.sum("value").cast("decimal(38,2)").alias("total"), F.sum(F.col("year") * 12 + F.coalesce("month", F.lit(0))).alias("months"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("period", "source_group"))), ",").alias("named"))
 
 
 # --- Training sets -----------------------------------------------------------------------------

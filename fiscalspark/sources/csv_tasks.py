@@ -3,8 +3,8 @@
 A file is read as line-aligned blocks, so a file of any size is spread over many tasks. Two things
 then have to be known about a block before it can be parsed: how many records precede it, and whether
 it starts inside a quoted cell that an earlier block opened. ``summarize`` states both as a function
-of the unknown starting state, ``index_blocks`` chains these functions along each file (a few numbers
-per block), and ``parse`` reads the records.
+of the unknown starting state (see `csv_profile`), ``index_blocks`` chains these functions along each file
+(a few numbers per block), and ``parse`` reads the records.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 
-DELIMITERS = (";", ",", "\t")
-HEADER_WINDOW = 80  # records searched for the header
-SNIFF_CHARS = 10_000  # characters the delimiter is guessed from
+from fiscalspark.sources.csv_profile import DEFAULT_LIMITS, DELIMITERS, Limits
+
 MIN_HEADER_CELLS = 5
 REQUIRED_HEADERS = {"бюджет", "датапроводки"}
 HEADER_FIRST_GROUPS = ("agreements", "gz")
-CELL_LIMIT = 131_072  # longest cell the csv module accepts; a file with a longer one is refused and reported
 HASH_PIECE = 1 << 20
 OUTPUT_ROWS = 4_096
 ARCHIVE_CHUNK = 32 << 20
@@ -34,15 +32,6 @@ ARCHIVE_CHUNK = 32 << 20
 _EXTRA_BREAKS = re.compile(rb"[\x0b\x0c\x1c-\x1e]|\xe2\x80[\xa8\xa9]")
 _END = "\x03end of block\x03"
 
-SUMMARY_FIELDS = (
-    "path string, block long, bytes long, utf8 boolean, undefined_1251 boolean, head array<binary>, "
-    "head_is_whole boolean, records array<long>, ends_open array<boolean>"
-)
-SUMMARY_ARROW = pa.schema([
-    ("path", pa.string()), ("block", pa.int64()), ("bytes", pa.int64()), ("utf8", pa.bool_()),
-    ("undefined_1251", pa.bool_()), ("head", pa.list_(pa.binary())), ("head_is_whole", pa.bool_()),
-    ("records", pa.list_(pa.int64())), ("ends_open", pa.list_(pa.bool_())),
-])
 BLOCK_FIELDS = (
     "path string, block long, encoding string, delimiter string, starts_open boolean, first_record long, "
     "header_row_index long, headers array<string>, records_total long, problem string"
@@ -80,53 +69,6 @@ def _lines(line: bytes) -> list[bytes]:
     return parts
 
 
-def _leaves_open(text: str, delimiter: str, is_open: bool) -> bool:
-    """Does a quoted cell stay open at the end of the line?"""
-    probe = ('"' + text if is_open else text, _END)
-    return sum(1 for _ in csv.reader(probe, delimiter=delimiter)) == 1
-
-
-def _summarize_block(path: str, block: int, lines: Iterator[bytes]) -> tuple:
-    states = [(d, start) for d in DELIMITERS for start in (False, True)]
-    is_open = [start for _, start in states]
-    records = [0] * len(states)
-    size, utf8, undefined = 0, True, False
-    keep_head = True
-    head, head_chars, cell_chars = [], 0, [0] * len(states)
-    for raw in lines:
-        try:
-            raw.decode("utf-8")
-        except UnicodeDecodeError:
-            utf8 = False
-        undefined = undefined or b"\x98" in raw
-        for line in _lines(raw):
-            size += len(line) + 1
-            wanted = head_chars < 4 * SNIFF_CHARS or any(
-                n <= HEADER_WINDOW and chars <= CELL_LIMIT for n, chars in zip(records[::2], cell_chars[::2]))
-            if keep_head and wanted:
-                head.append(line)
-                head_chars += len(line) + 1
-            else:
-                keep_head = False
-            text = line.decode("latin1") if b'"' in line else None
-            for i, (delimiter, _) in enumerate(states):
-                records[i] += not is_open[i]
-                if text is not None:
-                    try:
-                        is_open[i] = _leaves_open(text, delimiter, is_open[i])
-                    except csv.Error:  # an oversized cell: reported when the block is parsed
-                        is_open[i] = False
-                cell_chars[i] = cell_chars[i] + len(line) + 1 if is_open[i] else 0
-    return path, block, size, utf8, undefined, head, keep_head, records, is_open
-
-
-def summarize(batches) -> Iterator[pa.RecordBatch]:
-    """(path, block, line) in reading order -> one row per block."""
-    groups = itertools.groupby(_rows(batches), key=lambda row: row[:2])
-    rows = (_summarize_block(path, block, (row[2] for row in group)) for (path, block), group in groups)
-    yield from _emit(rows, SUMMARY_ARROW)
-
-
 def header_key(text: str) -> str:
     return re.sub("[^a-zа-я0-9]+", "", text.lower().replace("ё", "е"))
 
@@ -138,19 +80,23 @@ def _delimiter_of(sample: str) -> str:
         return max(DELIMITERS, key=sample.count)
 
 
-def _header_index(rows: list[list[str]], group: str) -> int:
+def _header_index(window: list[list[str]], group: str) -> int:
     if group in HEADER_FIRST_GROUPS:
         return 0
-    window = rows[:HEADER_WINDOW]
     by_name = (i for i, row in enumerate(window) if REQUIRED_HEADERS <= {header_key(cell) for cell in row})
     by_width = (i for i, row in enumerate(window) if sum(bool(cell.strip()) for cell in row) >= MIN_HEADER_CELLS)
     return next(itertools.chain(by_name, by_width, [0]))
 
 
-def index_blocks(pdf):
+def index_blocks(limits: Limits = DEFAULT_LIMITS):
     """Block summaries of one file -> encoding, delimiter, header and the state every block starts in."""
+    return lambda pdf: _index_file(pdf, limits)
+
+
+def _index_file(pdf, limits: Limits):
     import pandas as pd
 
+    csv.field_size_limit(limits.cell_chars)
     pdf = pdf.sort_values("block")
     if pdf["utf8"].all():
         encoding = "utf-8-sig"
@@ -162,11 +108,11 @@ def index_blocks(pdf):
         if not whole:
             break
     text = [line.decode(encoding) for line in head]
-    delimiter = _delimiter_of("\n".join(text)[:SNIFF_CHARS])
+    delimiter = _delimiter_of("\n".join(text)[:limits.sniff_chars])
     problem = None
     rows: list[list[str]] = []
     try:
-        rows = list(itertools.islice(csv.reader(text, delimiter=delimiter), HEADER_WINDOW))
+        rows = list(itertools.islice(csv.reader(text, delimiter=delimiter), limits.header_window))
     except csv.Error as error:
         problem = str(error)
     header = _header_index(rows, pdf["source_group"].iloc[0])
@@ -177,8 +123,8 @@ def index_blocks(pdf):
     for records, ends_open, size in zip(pdf["records"], pdf["ends_open"], pdf["bytes"]):
         starts.append((is_open, total))
         state = which + is_open
-        if is_open and records[state] == 0 and ends_open[state] and size > CELL_LIMIT:
-            problem = problem or f"field larger than field limit ({CELL_LIMIT})"
+        if is_open and records[state] == 0 and ends_open[state] and size > limits.cell_chars:
+            problem = problem or f"field larger than field limit ({limits.cell_chars})"
         total += int(records[state])
         is_open = bool(ends_open[state])
     count = len(starts)
@@ -228,15 +174,23 @@ def _parse_block(path: str, block: int, rows: Iterator[tuple]) -> Iterator[tuple
             pass
 
 
-def parse(batches) -> Iterator[pa.RecordBatch]:
+def parse(limits: Limits = DEFAULT_LIMITS):
     """(path, block, line, encoding, delimiter, starts_open, first_record, header) -> records."""
-    groups = itertools.groupby(_rows(batches), key=lambda row: row[:2])
-    rows = (record for (path, block), group in groups for record in _parse_block(path, block, group))
-    yield from _emit(rows, RECORD_ARROW)
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(limits.cell_chars)
+        groups = itertools.groupby(_rows(batches), key=lambda row: row[:2])
+        rows = (record for (path, block), group in groups for record in _parse_block(path, block, group))
+        yield from _emit(rows, RECORD_ARROW)
+    return run
 
 
-def join_fragments(batches) -> Iterator[pa.RecordBatch]:
+def join_fragments(limits: Limits = DEFAULT_LIMITS):
     """(path, record, lines, delimiter) of a record cut by block borders -> that record."""
+    return lambda batches: _join_fragments(batches, limits)
+
+
+def _join_fragments(batches, limits: Limits) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(limits.cell_chars)
 
     def rows() -> Iterator[tuple]:
         for path, record, lines, delimiter in _rows(batches):

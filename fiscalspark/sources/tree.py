@@ -8,10 +8,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalspark.functions.text import fold_case
-from fiscalspark.sources import csv_tasks
+from fiscalspark.sources import csv_profile, csv_tasks
+from fiscalspark.sources.csv_profile import DEFAULT_LIMITS, Limits
 
 # Workers receive the task code with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(csv_tasks)
+cloudpickle.register_pickle_by_value(csv_profile)
 
 CSV_GLOB = "*.[cC][sS][vV]"
 ADMITTED_GLOB = "*.{[cC][sS][vV],[xX][lL][sS],[xX][lL][sS][xX],[pP][dD][fF]}"
@@ -134,15 +136,15 @@ def archive_lines(chunks: DataFrame) -> DataFrame:
     )
 
 
-def index_blocks(lines: DataFrame) -> DataFrame:
+def index_blocks(lines: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """One row per file block with all that is needed to parse it on its own.
 
     Only block summaries are shuffled: a few numbers per block and the first lines of each file.
     """
-    summary = lines.select("path", "block", "line").mapInArrow(csv_tasks.summarize, csv_tasks.SUMMARY_FIELDS)
+    summary = lines.select("path", "block", "line").mapInArrow(csv_profile.summarize(limits), csv_profile.SUMMARY_FIELDS)
     return (
         summary.withColumn("source_group", source_group(F.col("path")))
-        .groupBy("path").applyInPandas(csv_tasks.index_blocks, csv_tasks.BLOCK_FIELDS)
+        .groupBy("path").applyInPandas(csv_tasks.index_blocks(limits), csv_tasks.BLOCK_FIELDS)
     )
 
 
@@ -155,7 +157,7 @@ def profiles(blocks: DataFrame) -> DataFrame:
     )
 
 
-def parse_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def parse_blocks(lines: DataFrame, blocks: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Parsed records, pieces of records cut by block borders, and problems (``csv_tasks.RECORD_FIELDS``).
 
     Spark picks the join by the real size of the block index. The sort restores the reading order in
@@ -164,10 +166,10 @@ def parse_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     profile = ["encoding", "delimiter", "starts_open", "first_record", "header_row_index"]
     readable = blocks.where(F.col("problem").isNull()).select("path", "block", *profile)
     placed = lines.join(readable, ["path", "block"]).sortWithinPartitions("path", "block", "seq")
-    return placed.select("path", "block", "line", *profile).mapInArrow(csv_tasks.parse, csv_tasks.RECORD_FIELDS)
+    return placed.select("path", "block", "line", *profile).mapInArrow(csv_tasks.parse(limits), csv_tasks.RECORD_FIELDS)
 
 
-def read_records(parsed: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_records(parsed: DataFrame, blocks: DataFrame, limits: Limits = DEFAULT_LIMITS) -> tuple[DataFrame, DataFrame]:
     """Data records ``(path, row_number, cells)`` and problems ``(path, message)``.
 
     ``parsed`` is read three times, so callers keep it. A record cut by a block border is glued from
@@ -179,7 +181,7 @@ def read_records(parsed: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataF
     ).withColumn("lines", F.flatten(F.col("pieces.cells")))
     glued = pieces.join(file_facts, "path").where(F.col("record") > F.col("header_row_index")).select(
         "path", "record", "lines", "delimiter"
-    ).mapInArrow(csv_tasks.join_fragments, csv_tasks.RECORD_FIELDS)
+    ).mapInArrow(csv_tasks.join_fragments(limits), csv_tasks.RECORD_FIELDS)
 
     everything = parsed.where(~F.col("is_fragment")).unionByName(glued)
     records = everything.where(F.col("problem").isNull()).select(

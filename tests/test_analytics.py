@@ -114,26 +114,3 @@ def test_unknown_values_field(facts):
 def test_first_wins_is_idempotent(facts):
     once = D.first_wins(facts, [F.col("metric")], ["source_file", "row_number"])
     assert once.count() == 3 and D.first_wins(once, [F.col("metric")], ["source_file", "row_number"]).count() == 3
-
-
-def test_questions_beyond_one_block_are_all_answered(spark, monkeypatch):
-    from fiscalspark.plans import examples as X, resolve as R
-    from fiscalspark.sources import mart
-
-    sf_dir = "/root/testdata/sf0.001"
-    facts = mart.facts(spark, sf_dir, ("batch_id", "metric", "value", "source_group", "object_name", "budget_name", "year", "month"))
-    request = F.struct(*[
-        F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("metrics", "group_by", "filters") else
-        F.array(F.lit("limits")).alias(f.name) if f.name == "metrics" else
-        F.when(F.col("id") % 2 == 0, F.array(F.lit("year"))).alias(f.name) if f.name == "group_by" else
-        F.struct(*[F.lit(None).cast(g.dataType).alias(g.name) for g in R.FILTERS_TYPE]).alias(f.name)
-        for f in R.REQUEST_TYPE])
-    asked = spark.range(5).select(F.col("id").alias("query_id"), F.lit("x").alias("text_query"), request.alias("resolved"))
-    columns = ("query_id", "part", "year", "period", "source_group", "metric", "value")
-
-    def rows():
-        return sorted((tuple(r) for r in X.answer(asked, facts, mart.BATCH).select(*columns).collect()), key=repr)
-
-    whole = rows()
-    monkeypatch.setattr(X, "MOST_QUESTIONS", 2)
-    assert rows() == whole and {r[0] for r in whole} == set(range(5))

@@ -1,9 +1,11 @@
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from fiscalspark.functions import language as L
+from fiscalspark.operators import containment
 from fiscalspark.operators.containment import contained
 from fiscalspark.plans import resolve as R
 
@@ -119,6 +121,19 @@ def test_containment_where_most_options_share_every_head(spark):
     assert found == {"учреждение", "№17", "города №299", "другое 10"}
 
 
+@pytest.mark.parametrize("part_bytes", [1, 12, 1 << 17])
+def test_containment_over_many_automata(spark, monkeypatch, part_bytes):
+    rng = random.Random(part_bytes)
+    monkeypatch.setattr(containment, "PART_BYTES", part_bytes)
+    letters = "абaя€"
+    needles = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)})
+    options = ["".join(rng.choice(letters + "ж") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, ""]
+    found = containment.occurrences(
+        spark.createDataFrame([(n,) for n in needles] + [(None,), ("",)], "needle string"),
+        spark.createDataFrame([(o, "k") for o in options], "option string, kind string"))
+    assert {(r["needle"], r["option"]) for r in found.collect()} == {(n, o) for n in needles for o in options if o and n in o}
+
+
 def test_flags(spark):
     rows = [("true", "a", "a"), ('"No"', "a", "b"), ('"maybe"', "a", " a "), ("null", "a", "b"), ("0", "a", "b")]
     df = spark.createDataFrame(rows, "j string, raw string, new string").select(
