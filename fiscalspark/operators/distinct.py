@@ -27,12 +27,16 @@ def distinct_values(facts: DataFrame, field: str, query: str | None = None, limi
 
 
 def catalogue(facts: DataFrame, fields: Sequence[str] = tuple(VALUE_FIELDS)) -> DataFrame:
-    """All distinct usable (field, value) pairs in a single pass over the facts."""
+    """All distinct usable (field, value) pairs in a single pass over the facts.
+
+    Different combinations come first: there are far fewer of them than facts, and only they are taken apart.
+    """
+    combinations = facts.select(*fields).distinct()
     pairs = F.array(*[
         F.struct(F.lit(VALUE_FIELDS[name]).alias("field"), F.col(name).alias("value")) for name in fields
     ])
     return (
-        facts.select(F.explode(pairs).alias("pair")).select("pair.field", "pair.value")
+        combinations.select(F.explode(pairs).alias("pair")).select("pair.field", "pair.value")
         .where(is_usable(F.col("value"))).distinct()
     )
 

@@ -33,8 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt over all tasks by a key, whatever the size: for heavy work per row on files that cannot be split."""
-    return df.repartition(F.col(key))
+    """Rows dealt over all tasks by a key, whatever the size: for heavy work per row on files that cannot be split.
+
+    With a stated number of partitions, as adaptive execution would put few bytes into one task however heavy their work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
 
 
 def money(col: Column | str) -> Column:
