@@ -8,7 +8,7 @@ not it has an identifier or shares it with another: stages that join tell rows a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalspark.llm import byte_bpe, content_sort, decontaminate, ngram_join, scratch, toxicity
 
@@ -23,27 +23,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_below(docs, model, toxicity.THRESHOLD)
 
 
+def _keyed(docs: DataFrame, digest: Column) -> DataFrame:
+    """Whole rows as ``row`` beside ``id`` and ``digest``, so that no column of the documents can clash with a helper."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+
+def _kept_once(keyed: DataFrame, kept: DataFrame, *order: Column) -> DataFrame:
+    """One row for each (id, digest) of ``kept``: the least by ``order``, then by its other columns, so a task that runs
+    again chooses alike."""
+    same = keyed["id"].eqNullSafe(kept["kept_id"]) & (keyed["digest"] == kept["kept_digest"])
+    others = [F.col(f"row.`{name}`") for name in keyed.schema["row"].dataType.names if name not in ("doc_id", "text")]
+    first = F.min_by("row", F.struct(*order, F.to_json(F.struct(*others)) if others else F.lit("")))
+    return keyed.join(kept, same, "left_semi").groupBy("id", "digest").agg(first.alias("row")).select("row.*")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each set of equal texts stays, once."""
+    """The document with the smallest identifier of each set of equal texts stays, once; of rows that share it and differ in
+    white space, the one whose text has the smallest digest."""
     kept = content_sort.exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_text"))
-    keyed = docs.withColumn("_text", F.sha2(content_sort.normalised(F.col("text")), 256))
-    same = keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed["_text"] == kept["_kept_text"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    keyed = _keyed(docs, F.sha2(content_sort.normalised(F.col("text")), 256))
+    return _kept_once(keyed, kept, F.sha2("row.text", 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays, of the smallest identifier (null last); so does each text without words."""
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(worded).withColumn("_text", F.unhex(F.sha2("text", 256)))
+    keyed = _keyed(docs.where(worded), F.unhex(F.sha2("text", 256)))
     # Rows equal in both are one; as the key holds the text, a component's smallest key is in no other component.
-    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("_text").alias("digest"))
-    near = ngram_join.near_duplicates(keyed.select(key.alias("key"), "text"), "key")
+    key = F.struct(F.col("id").isNull().alias("missing"), "id", "digest")
+    near = ngram_join.near_duplicates(keyed.select(key.alias("key"), F.col("row.text").alias("text")), "key")
     kept = near.where("key = component_id").select(
-        F.col("key.id").alias("_kept"), F.col("key.digest").alias("_kept_text")).distinct()
-    same = keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed["_text"] == kept["_kept_text"])
-    one = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
-    return one.unionByName(docs.where(~worded))
+        F.col("key.id").alias("kept_id"), F.col("key.digest").alias("kept_digest")).distinct()
+    return _kept_once(keyed, kept).unionByName(docs.where(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
