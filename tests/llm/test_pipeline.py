@@ -113,3 +113,20 @@ def test_registered_queries(spark, name):
     rows = df.where(F.col(df.columns[0]).isNotNull()).count()
     source = "pages" if name.startswith("op8") else "documents"
     assert rows == spark.read.parquet(f"{SF_DIR}/{source}.parquet").count()
+
+
+def test_dedup_stages_keep_columns_with_any_name_and_choose_alike(spark):
+    rows = [(1, "a b  c", "keep me", 1), (1, "a  b c", "or me", 2), (2, "a b c", "not me", 3), (3, None, "null", 4), (4, "", "blank", 5),
+            (5, "x y z x y", "b", 6), (5, "x y z x y", "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, row int")
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        seen = []
+        for shuffled in (docs, docs.orderBy(F.desc("_text")), docs.repartition(5)):
+            got = stage(spark, shuffled, "")
+            assert got.columns == docs.columns
+            seen.append(sorted(map(tuple, got.collect()), key=repr))
+        assert seen[0] == seen[1] == seen[2]
+        assert set(seen[0]) <= set(rows) and (5, "x y z x y", "a", 6) in seen[0] and (5, "x y z x y", "b", 6) not in seen[0]
+        assert sum(r[0] == 1 for r in seen[0]) == 1 or stage is corpus_pipeline.drop_near_copies
+    lone = spark.createDataFrame([(1, "a b"), (1, "a  b")], "doc_id long, text string")
+    assert corpus_pipeline.drop_exact_copies(spark, lone, "").count() == 1
