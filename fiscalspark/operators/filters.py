@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalspark.functions.language import search_terms
 from fiscalspark.functions.text import normalize_code
@@ -31,12 +31,21 @@ def haystack() -> Column:
     return F.lower(F.concat_ws(_BREAK, *TEXT_SEARCH_COLUMNS, F.to_json("raw_data")))
 
 
+def constant_terms(text: str) -> list[str]:
+    """The subject terms of one text, worked out while planning: a local relation, so no job runs."""
+    row = SparkSession.active().sql("SELECT text FROM VALUES (:text) AS t(text)", args={"text": text})
+    return row.select(search_terms(F.col("text"))).collect()[0][0]
+
+
 def text_search(text: str) -> Column:
     """Facts that mention every subject term of the text in any searchable column.
 
-    The terms of a constant text are a constant of the plan; the haystack of a row is built once for all of them.
+    The terms are literals of the plan; the haystack of a row is bound once for all of them.
     """
-    return F.forall(search_terms(F.lit(text)), lambda term: F.contains(haystack(), term))
+    terms = constant_terms(text)
+    if not terms:
+        return F.lit(True)
+    return F.exists(F.array(haystack()), lambda h: reduce(and_, [F.contains(h, F.lit(t)) for t in terms]))
 
 
 def _conditions(request: Request, normalize_codes: bool) -> list[Column]:

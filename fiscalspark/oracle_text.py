@@ -139,6 +139,10 @@ SQL["merge_request_patch"] = (
     f"WITH {QUESTIONS}, {_ASKED} SELECT query_id, e_from AS date_from, CAST(NULL AS DATE) AS date_to, coalesce(e_metric, "
     "p_metric) AS metrics, coalesce(e_group, p_group) AS group_by, org AS organization_query, e_kvr AS kvr_code, "
     "CAST(NULL AS VARCHAR) AS text_search FROM asked")
+SQL["merge_page_fields"] = (
+    f"WITH {QUESTIONS} SELECT query_id, CAST(CASE WHEN query_id % 3 = 0 THEN 25 WHEN query_id % 4 < 2 THEN query_id % 1000 + 1 ELSE 100 "
+    'END AS INTEGER) AS "limit", CAST(CASE WHEN query_id % 8 = 0 THEN query_id ELSE 0 END AS INTEGER) AS "offset", CASE WHEN query_id % 7 < 3 '
+    "THEN query_id % 2 = 0 WHEN query_id % 5 < 2 THEN FALSE ELSE TRUE END AS include_rows, query_id % 11 <> 0 AS include_charts FROM questions")
 
 
 def _safe(patched: bool) -> str:

@@ -104,16 +104,16 @@ def _asked(spark, sf_dir) -> DataFrame:
     filters = F.struct(*[
         (organization if f == "organization_query" else F.lit(None)).cast(
             R.FILTERS_TYPE[f].dataType).alias(f) for f in R.FILTERS_TYPE.fieldNames()])
-    patch = F.struct(
-        F.lit(None).cast("date").alias("date_from"), F.lit(None).cast("date").alias("date_to"),
-        metrics.alias("metrics"), filters.alias("filters"), grouping.alias("group_by")).cast(R.REQUEST_TYPE)
+    patch = R.request(
+        metrics=metrics, filters=filters, group_by=grouping, limit=F.when(key % 4 < 2, key % 1000 + 1), include_rows=F.when(key % 5 < 2, False))
     kvr = F.when(key % 7 == 0, "R")
-    explicit = F.struct(
-        F.when(key % 6 == 0, F.lit("1996-01-01").cast("date")).alias("date_from"), F.lit(None).cast("date").alias("date_to"),
-        F.when(key % 9 == 0, F.array(F.lit("limits"))).alias("metrics"),
-        F.struct(*[(kvr if f == "kvr_code" else F.lit(None)).cast(R.FILTERS_TYPE[f].dataType).alias(f)
-                   for f in R.FILTERS_TYPE.fieldNames()]).alias("filters"),
-        F.when(key % 10 == 0, F.array(F.lit("year"))).alias("group_by")).cast(R.REQUEST_TYPE)
+    explicit = R.request(
+        date_from=F.when(key % 6 == 0, F.lit("1996-01-01").cast("date")),
+        metrics=F.when(key % 9 == 0, F.array(F.lit("limits"))),
+        filters=F.struct(*[(kvr if f == "kvr_code" else F.lit(None)).cast(R.FILTERS_TYPE[f].dataType).alias(f)
+                           for f in R.FILTERS_TYPE.fieldNames()]),
+        group_by=F.when(key % 10 == 0, F.array(F.lit("year"))), limit=F.when(key % 3 == 0, 25), offset=F.when(key % 8 == 0, key),
+        include_rows=F.when(key % 7 < 3, key % 2 == 0), include_charts=F.when(key % 11 == 0, False))
     return questions(spark, sf_dir).withColumn("explicit", explicit).withColumn("patch", patch)
 
 
@@ -139,6 +139,12 @@ def merge_request_patch(spark, sf_dir):
     return _resolved(R.merge(_asked(spark, sf_dir)))
 
 
+@query("merge_page_fields")
+def merge_page_fields(spark, sf_dir):
+    """Page and parts of each resolved request: explicit values before those of the interpretation, before the defaults."""
+    return R.resolve(_asked(spark, sf_dir)).select("query_id", *[F.col(f"resolved.{f}").alias(f) for f in R.PAGE_FIELDS])
+
+
 @query("resolve_safety")
 def resolve_safety(spark, sf_dir):
     return _resolved(R.resolve(_asked(spark, sf_dir)))
@@ -220,10 +226,7 @@ def _subjects(spark, sf_dir) -> DataFrame:
     subject = {"object_query": F.when(key % 4 == 0, F.col("n_name")), "kvr_code": F.when(key % 4 == 1, _pick(("A", "N", "R"), key % 7)),
                "funding_source": F.when(key % 4 == 2, F.col("c_mktsegment"))}
     filters = F.struct(*[subject.get(f, F.lit(None)).cast(R.FILTERS_TYPE[f].dataType).alias(f) for f in R.FILTERS_TYPE.fieldNames()])
-    patch = F.struct(
-        F.lit(None).cast("date").alias("date_from"), F.lit(None).cast("date").alias("date_to"),
-        F.lit(None).cast("array<string>").alias("metrics"), filters.alias("filters"),
-        F.when(key % 5 == 0, F.array(F.lit("year"))).alias("group_by")).cast(R.REQUEST_TYPE)
+    patch = R.request(filters=filters, group_by=F.when(key % 5 == 0, F.array(F.lit("year"))))
     return orders.select(
         key.alias("query_id"), text.alias("text_query"), F.lit(None).cast(R.REQUEST_TYPE).alias("explicit"), patch.alias("patch"))
 
