@@ -9,13 +9,12 @@ from fiscalspark.operators.distinct import first_wins
 SNAPSHOT_ORDER = ("source_file", "row_number")
 
 
-def file_problems(entry: DataFrame, read_problems: DataFrame | None = None) -> DataFrame:
-    """One row per failed file: (path, message)."""
-    found = entry.where(F.col("violation").isNotNull()).select(
-        F.col("source_file").alias("path"), F.col("violation").alias("message"))
-    if read_problems is not None:
-        found = found.unionByName(read_problems)
-    return found.groupBy("path").agg(F.min("message").alias("message"))
+def file_problems(files: DataFrame, read_problems: DataFrame | None = None) -> DataFrame:
+    """One row per failed file, (path, message), from the per-file row of its entries."""
+    found = files.where(F.col("message").isNotNull()).select("path", "message")
+    if read_problems is None:
+        return found
+    return found.unionByName(read_problems).groupBy("path").agg(F.min("message").alias("message"))
 
 
 def without_failed_files(entry: DataFrame, problems: DataFrame) -> DataFrame:
@@ -45,6 +44,15 @@ def agreement_fact_keys() -> list[Column]:
             _text("object_name"), _text("budget_name"), _text("metric")]
 
 
+def agreement_key_columns() -> list[Column]:
+    """The dedup keys under names of their own."""
+    return [key.alias(f"k{i}") for i, key in enumerate(agreement_keys())]
+
+
+def agreement_fact_key_columns() -> list[Column]:
+    return [key.alias(f"k{i}") for i, key in enumerate(agreement_fact_keys())]
+
+
 def dedup_agreements(agreements: DataFrame) -> DataFrame:
     return first_wins(agreements, agreement_keys(), SNAPSHOT_ORDER)
 

@@ -178,6 +178,9 @@ SQL["files_listing"] = (
     f"CASE WHEN failed THEN 'error' ELSE 'processed' END AS status FROM {_REGISTRY} UNION ALL "
     "SELECT 'прочее/' || n_name || '.pdf', n_name || '.pdf', '.pdf', 'unknown', 'skipped' FROM nation "
     "WHERE n_nationkey % 2 = 0")
+SQL["errors_listing"] = (
+    "SELECT batch_id, path, 'error' AS level, 'con_document_id is missing' AS message, path AS context_path, created_on "
+    f"FROM {_CONTRACT_FILES}, (VALUES ('first', DATE '2026-01-01'), ('second', DATE '2026-02-01')) AS b(batch_id, created_on) WHERE bad > 0")
 SQL["latest_batch"] = (
     "SELECT o_orderpriority AS input_type, o_custkey AS original_name, CAST(o_orderdate AS DATE) AS created_at, "
     "o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' QUALIFY ROW_NUMBER() OVER (PARTITION BY o_orderpriority, "

@@ -55,7 +55,8 @@ def materialize(df: DataFrame, _name: str, held: list[DataFrame] | None = None)
 def normalize(records: DataFrame, profiles: DataFrame, batch_id: str, read_problems: DataFrame | None = None,
               keep=materialize) -> Normalized:
     entry = keep(N.entries(records, N.place_columns(profiles)), "entries")
-    problems = keep(Q.file_problems(entry, read_problems), "problems")
+    files = keep(B.per_file(entry), "files")
+    problems = Q.file_problems(files, read_problems)
     healthy = Q.without_failed_files(entry, problems)
     agreement = F.col("kind") == "agreement"
     tables = {name: N.typed(healthy, name) for name in N.TYPED_TABLES}
@@ -64,10 +65,18 @@ def normalize(records: DataFrame, profiles: DataFrame, batch_id: str, read_probl
     other_facts = N.facts(healthy.where(~agreement), batch_id)
     return Normalized(
         raw_rows=N.raw_rows(healthy), facts=other_facts.unionByName(agreement_facts), tables=tables,
-        problems=problems, counts=B.imported_counts(healthy, tables["agreements"], agreement_facts),
+        problems=problems, counts=B.imported_counts(files, healthy),
     )
 
 
+def count_rows(records: DataFrame, profiles: DataFrame, read_problems: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Problems and counters alone, without keeping any entry: one pruned pass for the files, one over agreements."""
+    entry = N.entries(records, N.place_columns(profiles))
+    files = materialize(B.per_file(entry), "files")
+    problems = Q.file_problems(files, read_problems)
+    return problems, B.imported_counts(files, Q.without_failed_files(entry, problems))
+
+
 def ingest_lines(files: DataFrame, lines: DataFrame, batch_id: str, hashes: DataFrame | None = None,
                  archive_problems: DataFrame | None = None, limits: Limits = DEFAULT_LIMITS) -> Import:
     """Import files whose physical lines ``(path, block, line, seq)`` are already at hand."""

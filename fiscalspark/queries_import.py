@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fiscalspark.functions import periods as P, text as X
 from fiscalspark.operators import bookkeeping as B, distinct as D, quarantine as Q, records as N
 from fiscalspark.operators.aggregates import total
-from fiscalspark.plans.ingest import ingest_folder, materialize, normalize
+from fiscalspark.plans.ingest import count_rows, ingest_folder, materialize, normalize
 from fiscalspark.queries import query
 from fiscalspark.session import ensure_checkpoint_dir
 from fiscalspark.sources import messy, tree
@@ -235,16 +235,15 @@ def _import_counts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A listing with non-CSV files among the exports, and the registry after importing it."""
     records, profiles = messy.everything(spark, sf_dir)
     profiles = materialize(profiles, "profiles")
-    out = normalize(records, profiles, "tpch")
+    problems, counts = count_rows(records, profiles)
     others = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("прочее/"), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, ".pdf").otherwise(".txt"))
         .alias("path"))
     files = profiles.select("path").unionByName(others).select(
         "path", F.lit(1).cast("long").alias("size_bytes")).withColumn("extension", tree.extension(F.col("path")))
-    seen = records.groupBy("path").agg(F.count(F.lit(1)).alias("rows_count"))
     profile = profiles.select("path", F.lit("utf-8-sig").alias("encoding"), F.lit(";").alias("delimiter"),
-                              F.lit(0).alias("header_row_index")).join(seen, "path")
-    registry = B.file_registry(tree.register(files), profile, out.problems, out.counts)
+                              F.lit(0).alias("header_row_index"), "rows_count")
+    registry = B.file_registry(tree.register(files), profile, problems, counts)
     return files, materialize(registry, "registry")
 
 
@@ -266,6 +265,18 @@ def files_listing(spark, sf_dir):
     return B.files_listing(registry).select("relative_path", "original_name", "extension", "source_group", "status")
 
 
+@query("errors_listing")
+def errors_listing(spark, sf_dir):
+    """The error log of two imports of the contracts, the first one's errors first."""
+    records, profiles = messy.contracts(spark, sf_dir)
+    problems = count_rows(records, profiles)[0]
+    logs = [Q.error_log(problems, batch).withColumn("created_at", F.lit(at).cast("timestamp"))
+            for batch, at in (("second", "2026-02-01 00:00:00"), ("first", "2026-01-01 00:00:00"))]
+    listed = B.errors_listing(logs[0].unionByName(logs[1]))
+    return listed.select("batch_id", "path", "level", "message", F.col("context")["relative_path"].alias("context_path"),
+                         F.col("created_at").cast("date").alias("created_on"))
+
+
 @query("latest_batch")
 def latest_batch(spark, sf_dir):
     batches = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(

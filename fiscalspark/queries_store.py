@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fiscalspark.operators import aggregates as A, records as N, report as R
+from fiscalspark.operators import aggregates as A, quarantine as Q, records as N, report as R
 from fiscalspark.operators.filters import matching
 from fiscalspark.plans import training as G
 from fiscalspark.plans.ingest import ingest_folder
@@ -82,69 +82,124 @@ def report_files(spark, sf_dir):
     return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in plain.schema])
 
 
+#: Keys whose rows go into one written file, so files stay alike in size and their number grows with the tables.
+KEYS_PER_FILE = 10_000
+
+
 @query("file_registry")
 def file_registry(spark, sf_dir):
-    """Files written from orders, one per priority, listed with size and streamed digest."""
+    """Files written from orders, one per priority and range of keys, listed with size and streamed digest."""
     root = _folder(spark, "files")
     lines = table(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("kind"), "o_orderkey", F.concat_ws(";", "o_orderkey", "o_custkey").alias("value"))
-    ordered = lines.repartition("kind").sortWithinPartitions("kind", "o_orderkey").select("kind", "value")
-    ordered.write.partitionBy("kind").option("header", "false").csv(f"{root}/files")
+        F.col("o_orderpriority").alias("kind"), F.floor(F.col("o_orderkey") / KEYS_PER_FILE).alias("part"), "o_orderkey",
+        F.concat_ws(";", "o_orderkey", "o_custkey").alias("value"))
+    ordered = lines.repartition("kind", "part").sortWithinPartitions("kind", "part", "o_orderkey").select("kind", "part", "value")
+    ordered.write.partitionBy("kind", "part").option("header", "false").csv(f"{root}/files")
     files = tree.register(tree.list_files(spark, f"{root}/files")).join(tree.hash_files(spark, f"{root}/files"), "path")
-    kind = F.url_decode(F.regexp_extract("path", "kind=([^/]+)/", 1))
-    return files.select(kind.alias("kind"), "size_bytes", "sha256", "status")
+    kind, part = (F.url_decode(F.regexp_extract("path", f"{name}=([^/]+)/", 1)) for name in ("kind", "part"))
+    return files.select(kind.alias("kind"), part.cast("long").alias("part"), "size_bytes", "sha256", "status")
 
 
-#: Ledger files of differing shape: name, lines before the header, delimiter, encoding, mark at the start.
+#: Ledger files of differing shape: folder, lines before the header, delimiter, encoding, mark at the start.
 MESSY_FILES = (
-    ("1. РЧБ/июнь2025.csv", 3, ";", "UTF-8", "\ufeff"), ("1. РЧБ/июль2025.csv", 0, ",", "UTF-8", ""),
-    ("1. РЧБ/август2025.csv", 1, "\t", "windows-1251", ""), ("прочее/разное.csv", 0, ";", "UTF-8", ""),
+    ("1. РЧБ июнь2025", 3, ";", "UTF-8", "\ufeff"), ("1. РЧБ июль2025", 0, ",", "UTF-8", ""),
+    ("1. РЧБ август2025", 1, "\t", "windows-1251", ""), ("прочее", 0, ";", "UTF-8", ""),
 )
 
 
 def _cp1251(text):
-    """Bytes of Cyrillic and ASCII text in windows-1251, as a string that holds them unchanged."""
+    """Cyrillic and ASCII text as the characters whose ISO-8859-1 bytes are its bytes in windows-1251."""
     letters = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюяЁё№\ufeff"  # the last has no counterpart and goes
     latin = "".join(map(chr, [*range(0xC0, 0x100), 0xA8, 0xB8, 0xB9]))
-    return F.encode(F.translate(text, letters, latin), "ISO-8859-1").cast("string")
+    return F.translate(text, letters, latin)
 
 
-def _place_file(spark: SparkSession, folder: str, target: str) -> None:
-    """Give the single part file of a folder a name of its own."""
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    files = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = files.globStatus(place(f"{folder}/part-*"))[0].getPath()
-    files.mkdirs(place(target).getParent())
-    files.rename(part, place(target))
+def _write_shape(lines: DataFrame, head: list[tuple[int, str]], folder: str, encoding: str) -> None:
+    """Lines ``(part, place, line)`` as one file per part, each below its own copy of the head lines."""
+    above = F.explode(F.array(*[F.struct(F.lit(place).cast("long").alias("place"), F.lit(text).alias("line")) for place, text in head]))
+    tops = lines.select("part").distinct().withColumn("top", above).select("part", "top.place", "top.line")
+    whole = lines.unionByName(tops).repartition("part").sortWithinPartitions("part", "place").select("part", "line")
+    if encoding == "windows-1251":
+        whole, encoding = whole.withColumn("line", _cp1251(F.col("line"))), "ISO-8859-1"
+    # One column that never needs quoting: the delimiter of the writer occurs in no line, and it knows no quote.
+    whole.write.partitionBy("part").options(
+        header="false", sep="\x01", quote="", escapeQuotes="false", emptyValue="", encoding=encoding,
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(folder)
 
 
 @query("ingest_messy_files")
 def ingest_messy_files(spark, sf_dir):
-    """Line items written as four differently shaped exports (mark, preamble, delimiter, encoding, repeated and blank
-    headers, blank rows, a file of no known source) and imported."""
+    """Line items written as exports of four shapes (mark, preamble, delimiter, encoding, repeated and blank headers, blank
+    rows, files of no known source), many files of each, and imported."""
     root = _folder(spark, "messy")
     headers = [*messy.RCHB_HEADERS, "Лишний", "Лишний", ""]
     cells = [*messy.rchb_cells(), F.lit("a"), F.lit("b"), F.lit("c")]
-    lines = table(spark, sf_dir, "lineitem").withColumn("place", F.expr("l_orderkey * 10 + l_linenumber"))
+    key = F.col("l_orderkey")
     for i, (name, preamble, delimiter, encoding, mark) in enumerate(MESSY_FILES):
-        mine = lines.where(F.col("l_orderkey") % len(MESSY_FILES) == i)
-        body = mine.select(F.col("place"), F.concat_ws(delimiter, *[F.coalesce(
-            F.when(F.contains(c.cast("string"), F.lit(delimiter)), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c.cast("string")),
-            F.lit("")) for c in cells]).alias("line"))
+        body = table(spark, sf_dir, "lineitem").where(key % len(MESSY_FILES) == i).select(
+            F.floor(key / (KEYS_PER_FILE * len(MESSY_FILES))).alias("part"), F.expr("l_orderkey * 10 + l_linenumber").alias("place"),
+            F.concat_ws(delimiter, *[F.coalesce(
+                F.when(F.contains(c.cast("string"), F.lit(delimiter)), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c.cast("string")),
+                F.lit("")) for c in cells]).alias("line"))
         head = [(-100 + k, f"отчёт{delimiter}") for k in range(preamble)] + [(-1, delimiter.join(headers)), (0, delimiter * 3)]
-        head[0] = (head[0][0], mark + head[0][1])
-        whole = body.unionByName(spark.createDataFrame(head, "place bigint, line string"))
-        text = _cp1251(F.col("line")) if encoding != "UTF-8" else F.col("line")
-        # One file per shape: its lines are in one task by nature.
-        parts = f"{root}/parts/{i}"
-        whole.repartitionByRange(1, "place").sortWithinPartitions("place").select(text.alias("value")).write.text(parts)
-        _place_file(spark, parts, f"{root}/tree/{name}")
-    facts = ingest_folder(spark, f"{root}/tree", "tpch", hash_files=False).facts
-    group = F.element_at(F.split("source_file", "/"), 2)
-    return facts.groupBy(group.alias("file"), "kfsr_code", "kvr_code", "year", "metric").agg(
+        _write_shape(body, [(head[0][0], mark + head[0][1]), *head[1:]], f"{root}/tree/{name}", encoding)
+    done = ingest_folder(spark, f"{root}/tree", "tpch", hash_files=False)
+    group = F.element_at(F.split("source_file", "/"), 1)
+    return done.facts.groupBy(group.alias("file"), "kfsr_code", "kvr_code", "year", "metric").agg(
         F.count(F.lit(1)).alias("n"), A.total().alias("value"))
 
 
+@query("messy_file_profiles")
+def messy_file_profiles(spark, sf_dir):
+    """What is found out about each file of one shape (encoding, delimiter, header, source, rows) and about one of no known source."""
+    root = _folder(spark, "profiles")
+    orders = table(spark, sf_dir, "orders")
+    cells = [F.col("o_orderkey"), F.concat(F.lit("Ёж №"), F.col("o_custkey")), F.col("o_orderdate").cast("date"), F.lit("1"), F.col("o_custkey")]
+    for name, preamble, delimiter, encoding, mark in MESSY_FILES:
+        body = orders.select(F.floor(F.col("o_orderkey") / KEYS_PER_FILE).alias("part"), F.col("o_orderkey").alias("place"), F.concat_ws(
+            delimiter, *[c.cast("string") for c in cells]).alias("line"))
+        head = [(-100 + k, f"отчёт{delimiter}") for k in range(preamble)] + [(-1, delimiter.join(messy.RCHB_HEADERS[:5]))]
+        _write_shape(body, [(head[0][0], mark + head[0][1]), *head[1:]], f"{root}/tree/{name}", encoding)
+    registry = ingest_folder(spark, f"{root}/tree", "tpch", hash_files=False).registry
+    return registry.select(
+        F.substring_index("relative_path", "/", 1).alias("folder"), F.regexp_extract("relative_path", "part=([0-9]+)/", 1).cast("long").alias("part"),
+        "source_group", "status", "encoding", "delimiter", "header_row_index", "rows_count", "raw_rows_imported", "normalized_rows_imported")
+
+
+# --- Typed tables --------------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str, source, name: str) -> DataFrame:
+    """A typed table after two batches were stored and one of them again; the replaced one is read back."""
+    store = _folder(spark, "store")
+    records, profiles = source(spark, sf_dir)
+    rows = N.typed(N.entries(records, N.place_columns(profiles)), name)
+    rows = Q.dedup_agreements(rows) if name == "agreements" else rows
+    for batch, replace in (("one", False), ("two", False), ("one", True)):
+        sinks.append(rows.select(F.lit(batch).alias("batch_id"), "*"), f"{store}/{name}", "batch_id", replace=replace)
+    return spark.read.parquet(f"{store}/{name}").where("batch_id = 'one'").drop("batch_id", "raw_data")
+
+
+@query("store_agreements")
+def store_agreements(spark, sf_dir):
+    return _stored(spark, sf_dir, messy.agreements, "agreements")
+
+
+@query("store_contract_lines")
+def store_contract_lines(spark, sf_dir):
+    return _stored(spark, sf_dir, messy.contract_lines, "contract_budget_lines")
+
+
+@query("store_payments")
+def store_payments(spark, sf_dir):
+    return _stored(spark, sf_dir, messy.payments, "payments")
+
+
+@query("store_institution_payments")
+def store_institution_payments(spark, sf_dir):
+    return _stored(spark, sf_dir, messy.buau, "institution_payments")
+
+
 @query("stream_import")
 def stream_import(spark, sf_dir):
     """Files that land in two bursts, each imported as one batch; files of other kinds are only registered."""

@@ -47,9 +47,9 @@ def _records(df: DataFrame, path: Column, row_number: Column, cells: list[Column
 
 def _files(records: DataFrame, headers: tuple[str, ...]) -> DataFrame:
     """Profiles as the file reader would give them: one row per path."""
-    return records.select("path").distinct().select(
+    return records.groupBy("path").agg(F.count(F.lit(1)).alias("rows_count")).select(
         "path", source_group(F.col("path")).alias("source_group"),
-        F.array(*[F.lit(h) for h in headers]).alias("headers"),
+        F.array(*[F.lit(h) for h in headers]).alias("headers"), "rows_count",
     )
 
 
