@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from fiscalspark.oracle import MONEY, SQL, on_facts, percent
 from fiscalspark.plans import training as G
 from fiscalspark.plans.resolve import UNAVAILABLE
@@ -245,12 +247,12 @@ def _phrase(metric: str, verb: str) -> str:
     return f"({_list(phrases)})[(length(subject) + {len(verb)}) % {len(phrases)} + 1]"
 
 
-def _section(source: str, text: str, metric: str, group: str | None, start: str | None = None, end: str | None = None) -> str:
+def _section(key: str, source: str, text: str, metric: str, group: str | None, start: str | None = None, end: str | None = None) -> str:
     def literal(value):
         return f"'{value}'" if value else "CAST(NULL AS VARCHAR)"
 
     return (f"SELECT {text} AS text_query, '{metric}' AS metric, {literal(group)} AS group_by, {literal(start)} AS date_from, "
-            f"{literal(end)} AS date_to, subject FROM {source}")
+            f"{literal(end)} AS date_to, subject, '{key}' AS key FROM {source}")
 
 
 def _training_sections() -> str:
@@ -258,24 +260,24 @@ def _training_sections() -> str:
     for metric in G.SUBJECT_METRICS:
         for verb in G.OBJECT_VERBS:
             for group, suffix in G.GROUPINGS:
-                parts.append(_section("objects", f"'{verb} ' || {_phrase(metric, verb)} || ' по ' || subject || '{suffix}'", metric, group))
+                parts.append(_section("object_query", "objects", f"'{verb} ' || {_phrase(metric, verb)} || ' по ' || subject || '{suffix}'", metric, group))
         for verb in G.ORGANIZATION_VERBS:
-            parts.append(_section("orgs", f"'{verb} ' || {_phrase(metric, verb)} || ' по организации ' || subject", metric, None))
-        parts.append(_section("budgets", f"'Покажи ' || {_phrase(metric, '')} || ' по ' || subject", metric, None))
+            parts.append(_section("organization_query", "orgs", f"'{verb} ' || {_phrase(metric, verb)} || ' по организации ' || subject", metric, None))
+        parts.append(_section("budget_query", "budgets", f"'Покажи ' || {_phrase(metric, '')} || ' по ' || subject", metric, None))
     for source, (first, second) in G.SOURCE_PHRASES.items():
         for metric in G.SOURCE_METRICS[source]:
             phrase = G.METRIC_PHRASES[metric][0]
             of = f"(SELECT subject FROM groups WHERE subject = '{source}')"
-            parts.append(_section(of, f"'Покажи {phrase} {first}'", metric, None))
-            parts.append(_section(of, f"'Покажи {phrase} {second} по месяцам'", metric, "month"))
+            parts.append(_section("source_groups", of, f"'Покажи {phrase} {first}'", metric, None))
+            parts.append(_section("source_groups", of, f"'Покажи {phrase} {second} по месяцам'", metric, "month"))
     for code, label in G.CODE_LABELS.items():
         for metric in G.CODE_METRICS[code]:
             text = f"'Покажи {G.METRIC_PHRASES[metric][0]} по {label} ' || subject"
-            parts.append(_section(f"(SELECT DISTINCT {code} AS subject FROM facts WHERE {code} <> '')", text, metric, None))
-            parts.append(_section(f"(SELECT DISTINCT {code} AS subject FROM facts WHERE {code} <> '')", text + " || ' по годам'", metric, "year"))
+            parts.append(_section(code, f"(SELECT DISTINCT {code} AS subject FROM facts WHERE {code} <> '')", text, metric, None))
+            parts.append(_section(code, f"(SELECT DISTINCT {code} AS subject FROM facts WHERE {code} <> '')", text + " || ' по годам'", metric, "year"))
     for metric in G.DATED_METRICS:
         for words, start, end in G.DATE_RANGES:
-            parts.append(_section("objects", f"'Покажи {G.METRIC_PHRASES[metric][0]} по ' || subject || ' {words}'", metric, None, start, end))
+            parts.append(_section("object_query", "objects", f"'Покажи {G.METRIC_PHRASES[metric][0]} по ' || subject || ' {words}'", metric, None, start, end))
     return " UNION ALL ".join(parts)
 
 
@@ -284,9 +286,66 @@ _TRAINING = (
     f"budgets AS ({_values('budgets', 'budget_name')})", f"groups AS ({_values('groups', 'source_group')})",
     f"examples AS ({_training_sections()})",
 )
-SQL["training_examples"] = on_facts("SELECT * FROM examples", *_TRAINING)
+SQL["training_examples"] = on_facts("SELECT * EXCLUDE (key) FROM examples", *_TRAINING)
 SQL["training_records"] = on_facts(
     f"SELECT metric, group_by, {N}, COUNT(*) AS with_text FROM examples GROUP BY 1, 2", *_TRAINING)
+#: The questions written by hand and their answers, apart from the code under test: (text, metrics, grouping, what else is not null).
+_BY_HAND = (
+    ("Покажи лимиты по Благовещенску по месяцам", ["limits"], ["month"], {"object_query": "Благовещенск"}),
+    ("Покажи кассовые выплаты по 0502", ["cash_payments"], None, {"kfsr_code": "0502"}),
+    ("Покажи сумму контрактов по источнику gz", ["contract_amount"], None, {"source_groups": ["gz"]}),
+    ("Покажи соглашения по Авиабазе по годам", ["agreement_amount"], ["year"], {"object_query": "Авиабаза"}),
+    ("Покажи данные по Благовещенску", None, None, {"object_query": "Благовещенск"}),
+    ('Покажи кассовые выплаты по организации ГАУ Амурской области "Авиабаза"', ["cash_payments"], None,
+     {"organization_query": 'ГАУ Амурской области "Авиабаза"'}),
+    ("Покажи лимиты и кассовые выплаты по Благовещенску по месяцам", ["limits", "cash_payments"], ["month"], {"object_query": "Благовещенск"}),
+    ("Покажи данные по документу 1211004698498", None, None, {"document_id": "1211004698498"}),
+    ("Покажи сумму соглашений по номеру документа 637/1", ["agreement_amount"], None, {"document_number": "637/1"}),
+    ("Покажи платежи по контрактам по источнику gz по месяцам", ["contract_payment"], ["month"], {"source_groups": ["gz"]}),
+    ("Покажи выплаты БУАУ с учетом возврата по годам", ["institution_payments_with_refund"], ["year"], {}),
+    ("Покажи исполнение БУАУ по организациям", ["institution_payments_execution"], ["organization_name"], {}),
+    ("Покажи восстановление выплат БУАУ по источникам", ["institution_payments_recovery"], ["source_group"], {}),
+    ("Покажи лимиты по бюджету города Благовещенска", ["limits"], None, {"budget_query": "Бюджет города Благовещенска"}),
+    ("Покажи остаток лимитов по Благовещенску с 01.01.2025 по 31.12.2025", ["remaining_limits"], None,
+     {"object_query": "Благовещенск", "date_from": "2025-01-01", "date_to": "2025-12-31"}),
+    ("Покажи обязательства без БО по Тынде по годам", ["obligations_without_bo"], ["year"], {"object_query": "Тында"}),
+)
+_FILTERS = (
+    "source_groups", "object_query", "budget_query", "organization_query", "document_id", "document_number", "kfsr_code", "kcsr_code",
+    "kvr_code", "kvsr_code", "kesr_code", "kosgu_code", "purpose_code", "funding_source")
+
+
+def _answer_text(metrics, group, found) -> str:
+    return json.dumps({"date_from": found.get("date_from"), "date_to": found.get("date_to"), "metrics": metrics,
+                       "filters": {k: found.get(k) for k in _FILTERS}, "group_by": group}, ensure_ascii=False, indent=2)
+
+
+def _answer_sql() -> str:
+    """The same text from the columns of an example."""
+    def quoted(column: str) -> str:
+        return f"coalesce('\"' || replace(replace({column}, '\\', '\\\\'), '\"', '\\\"') || '\"', 'null')"
+
+    def listed(column: str, indent: int) -> str:
+        inner, outer = "chr(10) || '" + " " * (indent + 2) + "'", "chr(10) || '" + " " * indent + "'"
+        return f"CASE WHEN {column} IS NULL THEN 'null' ELSE '[' || {inner} || {quoted(column)} || {outer} || ']' END"
+
+    def only(key: str) -> str:
+        return f"CASE WHEN key = '{key}' THEN subject END"
+
+    filters = " || ',' || chr(10) || '    ' || ".join(
+        f"'\"{k}\": ' || " + (listed(f"({only(k)})", 4) if k == "source_groups" else quoted(f"({only(k)})")) for k in _FILTERS)
+    parts = [f"'\"date_from\": ' || {quoted('date_from')}", f"'\"date_to\": ' || {quoted('date_to')}",
+             f"'\"metrics\": ' || {listed('metric', 2)}", f"'\"filters\": {{' || chr(10) || '    ' || {filters} || chr(10) || '  }}'",
+             f"'\"group_by\": ' || {listed('group_by', 2)}"]
+    return "'{' || chr(10) || '  ' || " + " || ',' || chr(10) || '  ' || ".join(parts) + " || chr(10) || '}'"
+
+
+_HAND_ROWS = ", ".join(f"('{t}', '{_answer_text(m, g, f)}')" for t, m, g, f in _BY_HAND)
+_PROMPT = "'?' || chr(10) || chr(10) || 'Запрос пользователя:' || chr(10) || text_query || chr(10) || chr(10) || 'Верни только JSON:'"
+SQL["training_answers"] = on_facts(
+    f"SELECT text_query, completion, {_PROMPT} AS prompt, md5({_PROMPT} || completion) AS text_md5 FROM (SELECT text_query, {_answer_sql()} AS "
+    f"completion FROM examples UNION ALL SELECT * FROM (VALUES {_HAND_ROWS}) AS hand(text_query, completion) "
+    "WHERE text_query NOT IN (SELECT text_query FROM examples))", *_TRAINING)
 _SIZE = "greatest(12, CAST(floor(COUNT(*) * 0.16) AS BIGINT))"
 SQL["train_val_split"] = on_facts(
     "SELECT text_query, CASE WHEN row_number() OVER (ORDER BY h, text_query) <= size THEN 'validation' ELSE 'train' END AS split "

@@ -64,6 +64,28 @@ DATE_RANGES = (
     ("за период с 01.03.2025 по 30.09.2025", "2025-03-01", "2025-09-30"),
 )
 DATED_METRICS = ("limits", "cash_payments", "agreement_amount", "contract_amount")
+# Questions written by hand: text, metrics, grouping, filters and dates.
+CURATED = (
+    ("Покажи лимиты по Благовещенску по месяцам", ("limits",), ("month",), {"object_query": "Благовещенск"}),
+    ("Покажи кассовые выплаты по 0502", ("cash_payments",), None, {"kfsr_code": "0502"}),
+    ("Покажи сумму контрактов по источнику gz", ("contract_amount",), None, {"source_groups": ("gz",)}),
+    ("Покажи соглашения по Авиабазе по годам", ("agreement_amount",), ("year",), {"object_query": "Авиабаза"}),
+    ("Покажи данные по Благовещенску", None, None, {"object_query": "Благовещенск"}),
+    ('Покажи кассовые выплаты по организации ГАУ Амурской области "Авиабаза"', ("cash_payments",), None,
+     {"organization_query": 'ГАУ Амурской области "Авиабаза"'}),
+    ("Покажи лимиты и кассовые выплаты по Благовещенску по месяцам", ("limits", "cash_payments"), ("month",),
+     {"object_query": "Благовещенск"}),
+    ("Покажи данные по документу 1211004698498", None, None, {"document_id": "1211004698498"}),
+    ("Покажи сумму соглашений по номеру документа 637/1", ("agreement_amount",), None, {"document_number": "637/1"}),
+    ("Покажи платежи по контрактам по источнику gz по месяцам", ("contract_payment",), ("month",), {"source_groups": ("gz",)}),
+    ("Покажи выплаты БУАУ с учетом возврата по годам", ("institution_payments_with_refund",), ("year",), {}),
+    ("Покажи исполнение БУАУ по организациям", ("institution_payments_execution",), ("organization_name",), {}),
+    ("Покажи восстановление выплат БУАУ по источникам", ("institution_payments_recovery",), ("source_group",), {}),
+    ("Покажи лимиты по бюджету города Благовещенска", ("limits",), None, {"budget_query": "Бюджет города Благовещенска"}),
+    ("Покажи остаток лимитов по Благовещенску с 01.01.2025 по 31.12.2025", ("remaining_limits",), None,
+     {"object_query": "Благовещенск", "date_from": "2025-01-01", "date_to": "2025-12-31"}),
+    ("Покажи обязательства без БО по Тынде по годам", ("obligations_without_bo",), ("year",), {"object_query": "Тында"}),
+)
 TASK = "budget_query_to_json"
 QUERY_HEADING, ANSWER_HEADING = "Запрос пользователя:", "Верни только JSON:"
 SEED, VALIDATION_SHARE, MIN_VALIDATION = 42, 0.16, 12
@@ -103,6 +125,14 @@ def subjects(facts: DataFrame) -> DataFrame:
                          F.col("value").alias("text"), F.col("value").alias("canonical"))
 
 
+def curated(spark: SparkSession, questions=CURATED) -> DataFrame:
+    """Questions written by hand as ``(text_query, target)``."""
+    rows = [(text, (found.get("date_from"), found.get("date_to"), metrics and list(metrics), tuple(
+        list(v) if isinstance(v := found.get(k), tuple) else v for k in FILTER_KEYS), group and list(group)))
+        for text, metrics, group, found in questions]
+    return spark.createDataFrame(rows, T.StructType([T.StructField("text_query", _S), T.StructField("target", TARGET_TYPE)]))
+
+
 def _sections() -> dict[tuple[str, str | None], list[tuple]]:
     """(kind, one subject or all) -> (metric, verb, phrases, before, after, group, date_from, date_to)."""
     sections = {

@@ -267,6 +267,15 @@ def training_records(spark, sf_dir):
         _count(), F.count_if(F.contains("prompt", F.col("text_query"))).alias("with_text"))
 
 
+@query("training_answers")
+def training_answers(spark, sf_dir):
+    """Whole texts: of every question, written by hand or made from the facts, its answer and the end of its prompt."""
+    columns = ("object_name", "organization_name", "budget_name", "source_group", *G.CODE_LABELS)
+    made = G.examples(G.subjects(_facts(spark, sf_dir, *columns)), G.curated(spark))
+    records = G.training_text(G.records(made, instruction="?"))
+    return records.select("text_query", "completion", "prompt", F.md5("text").alias("text_md5"))
+
+
 @query("train_val_split")
 def train_val_split(spark, sf_dir):
     """Which question is in which part."""
