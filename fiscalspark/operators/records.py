@@ -176,12 +176,14 @@ def _record_values() -> Column:
 def entries(records: DataFrame, placed: DataFrame) -> DataFrame:
     """Normalised entries of all kinds; blank rows and total rows are dropped.
 
-    ``records`` is ``(path, row_number, cells)``; Spark broadcasts the per-file side only while it is
-    small, otherwise the join is shuffled and AQE splits a file that holds much of the data.
-    The projections are staged so that no cell is cleaned twice.
+    ``records`` is ``(path, row_number, cells)``. The per-file side holds one row per file and is
+    broadcast: its size is estimated from the aggregate over all records, so without the hint Spark
+    may broadcast the records instead, through the driver and whole into every task, or shuffle them
+    by path, which puts a whole file into one task. The projections are staged so that no cell is
+    cleaned twice.
     """
     present = records.where(F.ltrim(F.array_join("cells", ""), F.lit(WHITESPACE)) != "")
-    joined = present.join(placed, "path").withColumn("values", _record_values())
+    joined = present.join(F.broadcast(placed), "path").withColumn("values", _record_values())
 
     first_value = F.substring_index(
         F.ltrim(F.array_join("values", CELL_BREAK), F.lit(WHITESPACE + BOM + CELL_BREAK)), CELL_BREAK, 1)

@@ -219,3 +219,16 @@ def test_oversized_cell_fails_only_its_file(spark, tmp_path):
             assert done.facts.count() == 5
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_entries_broadcast_the_files_not_the_records(spark):
+    """The per-file side is the small one; the records never go through the driver to every task."""
+    from fiscalspark.operators import records as N
+    from fiscalspark.sources import messy
+
+    records, profiles = messy.agreements(spark, "/root/testdata/sf0.001")
+    entry = N.entries(records, N.place_columns(profiles))
+    assert entry.count() == 300
+    plan = entry._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("BuildRight" in line for line in joins), plan
