@@ -241,7 +241,9 @@ def facts(entry: DataFrame, batch_id: str) -> DataFrame:
         "batch_id": F.lit(batch_id), "object_name": object_name, "year": year, "month": month,
         "metric": F.col("amount.metric"), "value": to_money(F.col("amount.value")),
     }
-    exploded = entry.where(kind.isNotNull() & (kind != "contract_line")).withColumn("amount", F.explode("amounts"))
+    # Not a filter: it would be pushed below entries that are not kept, and the kind worked out from the path of every record.
+    counted = F.when(kind.isNotNull() & (kind != "contract_line"), F.col("amounts"))
+    exploded = entry.withColumn("amount", F.explode(counted))
     return exploded.where(has_amount(F.col("amount.value"))).select(
         *[derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in FACT_SCHEMA]
     )

@@ -133,10 +133,15 @@ def file_admission(spark, sf_dir):
 # --- Records -> facts and typed tables ---------------------------------------------------------
 
 
-def _entries(source, spark, sf_dir) -> DataFrame:
-    """Entries as an import keeps them: persisted lazily, so that no normaliser is computed once per metric."""
+def _read_once(source, spark, sf_dir) -> DataFrame:
+    """Entries that one output reads: they pass from task to task, and none is held."""
     records, profiles = source(spark, sf_dir)
-    return materialize(N.entries(records, N.place_columns(profiles)), "entries")
+    return N.entries(records, N.place_columns(profiles))
+
+
+def _entries(source, spark, sf_dir) -> DataFrame:
+    """Entries as an import keeps them: persisted lazily, so that no normaliser is computed once per output."""
+    return materialize(_read_once(source, spark, sf_dir), "entries")
 
 
 def _facts(source, spark, sf_dir) -> DataFrame:
@@ -147,7 +152,7 @@ def _facts(source, spark, sf_dir) -> DataFrame:
 def unpivot_rchb(spark, sf_dir):
     keys = ["source_file", "organization_name", "kfsr_code", "kvr_code", "kvsr_code", "kesr_code", "kosgu_code",
             "purpose_code", "funding_source", "year", "month", "metric"]
-    facts = _facts(messy.rchb, spark, sf_dir).select(
+    facts = N.facts(_read_once(messy.rchb, spark, sf_dir), "tpch").select(
         *keys, "value", F.length("object_name").alias("object_length"), F.length("kcsr_code").alias("kcsr_length"))
     return facts.groupBy(*keys).agg(
         _count(), total().alias("value"), F.sum("object_length").alias("object_letters"),
