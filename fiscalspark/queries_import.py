@@ -162,7 +162,7 @@ def unpivot_rchb(spark, sf_dir):
 @query("raw_rows_rchb")
 def raw_rows_rchb(spark, sf_dir):
     """Verbatim records: what the cells of every header say, counted."""
-    raw = N.raw_rows(_entries(messy.rchb, spark, sf_dir))
+    raw = N.raw_rows(_read_once(messy.rchb, spark, sf_dir))
     cells = raw.select("source_file", F.col("data")["КФСР"].alias("kfsr"), F.size("data").alias("width"))
     return cells.groupBy("source_file", "kfsr", "width").agg(_count())
 

@@ -7,7 +7,7 @@ from fiscalspark import queries_import as I
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("run", [I.unpivot_rchb], ids=lambda run: run.__name__)
+@pytest.mark.parametrize("run", [I.unpivot_rchb, I.raw_rows_rchb], ids=lambda run: run.__name__)
 def test_entries_pass_through(spark, run):
     plan = run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" not in plan  # before, the entries of all records were held by the executors
