@@ -1,9 +1,12 @@
 """Training questions are compared only where two may be equal, and only records at the border of a split are ranked."""
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from fiscalspark.operators.distinct import catalogue
 from fiscalspark.plans import training as G
+from fiscalspark.sources import sinks
 
 KINDS = ("object_query", "organization_query", "budget_query", "kfsr_code", "kvr_code")
 NAMES = (
@@ -74,3 +77,19 @@ def test_catalogue_holds_each_value_once(spark):
     facts = spark.createDataFrame([("a", "x"), ("a", None), ("", "y"), (None, "x")], "object_name string, budget_name string")
     found = sorted(tuple(r) for r in catalogue(facts, ("object_name", "budget_name")).collect())
     assert found == [("budgets", "x"), ("budgets", "y"), ("objects", "a")]
+
+
+def test_names_are_dealt_over_all_tasks(spark):
+    subject = spark.createDataFrame([("object_query", f"Школа {i}", f"Школа {i}") for i in range(50)], "kind string, text string, canonical string")
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = G.examples(subject).select(F.spark_partition_id().alias("task"))
+    assert wanted > 1 and made.distinct().count() == wanted  # adaptive execution would put these few bytes into one task
+
+
+def test_written_records_are_compressed(spark, tmp_path):
+    records = G.records(G.examples(spark.createDataFrame([("object_query", "Тында", "Тында")], "kind string, text string, canonical string")))
+    sinks.write_jsonl(records, str(tmp_path / "set"))
+    files = list((tmp_path / "set").glob("part-*"))
+    plain = sum(len(line) for f in files for line in gzip.open(f))
+    assert sum(f.stat().st_size for f in files) * 5 < plain
+    assert G.read_records(spark, str(tmp_path / "set")).exceptAll(records).count() == 0
